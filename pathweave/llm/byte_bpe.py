@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import python_ready
 
 #: Pre-tokens that a worker remembers; beyond, it starts anew.
 REMEMBERED = 400_000
@@ -123,7 +123,7 @@ def codec(path: str, pattern: str) -> ByteBpe:
 
 def _extended(df: DataFrame, added: list[tuple[str, T.DataType]], work, keep: list[str] | None = None) -> DataFrame:
     """Arrow batches of ``df`` through ``work(batch) -> list of arrays``; the columns ``keep`` (all) stay."""
-    small_batches(df.sparkSession)
+    python_ready(df.sparkSession)
     names = [n for n, _ in added]
     stay = [c for c in (df.columns if keep is None else keep) if c not in names]
     fields = [*[df.schema[c] for c in stay], *[T.StructField(n, t) for n, t in added]]

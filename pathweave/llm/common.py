@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+_shipped: set[str] = set()
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -58,8 +61,20 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Let an Arrow batch hold at most ``rows`` rows, so that a batch of long texts fits a worker's memory."""
+def python_ready(spark: SparkSession, rows: int = 500) -> None:
+    """What every operator with Python workers asks of a session.
+
+    An Arrow batch holds at most ``rows`` rows, so that a batch of long texts fits a worker's memory, and the
+    workers get this package from the driver if their own path lacks it."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent.parent
+        place = Path(tempfile.mkdtemp(prefix="pathweave-")) / "pathweave-workers.zip"
+        with zipfile.ZipFile(place, "w") as z:
+            for f in [package / "__init__.py", *sorted((package / "llm").glob("*.py"))]:
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(str(place))
+        _shipped.add(context.applicationId)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
