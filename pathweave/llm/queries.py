@@ -15,6 +15,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text
+
+    return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+
+
 def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -23,12 +29,24 @@ def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
 
 
+def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ogg
 
     return ogg.stored_features(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    return line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,12 +56,27 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_token_count, op5_ogg, op7_byte_bpe, op9_langid)}
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("row_hash")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mixing, op2_html_text, op3_token_count, op4_kd_shards, op5_ogg, op6_line_dedup, op7_byte_bpe, op8_host_rules, op9_langid, op10_near_duplicates)
+}
 
 ORACLES: dict[str, str] = {}
