@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 import zipfile
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bits of a map of hashes at most.
+MAP_BITS = 26
+
 _shipped: set[str] = set()
 _made: list[tuple[SparkSession, str]] = []
 
@@ -91,6 +95,30 @@ def row_hash(*columns: str) -> Column:
     return F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in columns])
 
 
+def bit_map(chosen: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """Which values of a hash column occur, as bits: a table of 64-bit words, and the number of hash bits used.
+
+    It is made where the rows are and has at most 2 ** MAP_BITS bits (8 MB), so it may be broadcast; what it lets
+    through has to be joined all the same."""
+    bits = min(MAP_BITS, max(16, math.ceil(math.log2(16 * chosen.count() + 1))))
+    at = F.col(column).bitwiseAND((1 << bits) - 1)
+    words = chosen.select(F.shiftright(at, 6).alias("_word"), _bit(at).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return settled(words, "bits"), bits
+
+
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+
+
+def parted(rows: DataFrame, column: str, bit_map: tuple[DataFrame, int]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose hash may be among those of the map, and those whose hash is not.  No row is shuffled."""
+    words, bits = bit_map
+    at = F.col(column).bitwiseAND((1 << bits) - 1)
+    marked = rows.join(F.broadcast(words), F.shiftright(at, 6) == F.col("_word"), "left")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(_bit(at)) != 0, F.lit(False))
+    return marked.filter(maybe).select(*rows.columns), marked.filter(~maybe).select(*rows.columns)
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows

@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_hash, settled
+from .common import bit_map, parted, row_hash, settled
 
 LONG_CHARS = 240
 LEAST_CHARS = 100
@@ -91,7 +91,8 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", long_chars:
 
     # the bytes of the chunks found, each with its hash; texts that agree are summed where they are read
     where = found.groupBy("_key", "_row").agg(F.collect_set("place").alias("places")).withColumnRenamed("_key", "_k").withColumnRenamed("_row", "_r")
-    wanted = docs.join(where, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")))
+    maybe, _ = parted(docs, "_row", bit_map(found.select("_row").distinct(), "_row"))  # few of the other texts are shuffled
+    wanted = maybe.join(where.hint("merge"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")))
     numbered = F.transform(chunks(F.col("_text"), long_chars), lambda c, i: F.struct(c["h"].alias("h"), c["chunk"].alias("chunk"), i.alias("place")))
     texts = wanted.select("_key", "_row", F.explode(F.filter(numbered, lambda x: F.array_contains("places", x["place"]))).alias("x")).select("_key", "_row", "x.*")
     differ = texts.groupBy("h", "chunk").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
@@ -113,9 +114,12 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", long_chars: in
     """``df`` with repeated chunks taken out of ``text``, and ``n_removed``, the number of lines taken out."""
     out = settled(repeats(df, key, text, long_chars, least_chars).withColumnRenamed("_key", "_k").withColumnRenamed("_row", "_r"), "repeats")
     rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(key).alias("_key"), row_hash(key, text).alias("_row"))
-    joined = rows.join(out, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")), "left")
+    maybe, untouched = parted(rows, "_row", bit_map(out.select("_r"), "_r"))
+    joined = maybe.join(out.hint("merge"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")), "left")
     parts = F.transform(chunks(F.col("row")[text], long_chars), lambda c, i: F.struct(c["n"].alias("n"), c["chunk"].alias("chunk"), F.array_contains("places", i).alias("gone")))
     cut = _bound(parts, lambda p: F.struct(F.array_join(F.transform(F.filter(p, lambda c: ~c["gone"]), lambda c: c["chunk"]), "\n").alias("text"), F.aggregate(F.filter(p, lambda c: c["gone"]), F.lit(0).cast("long"), lambda a, c: a + c["n"]).alias("n")))
     with_cut = joined.withColumn("cut", F.when(F.col("places").isNotNull(), cut))
-    columns = [F.coalesce(F.col("cut")["text"], F.col("row")[c]).alias(c) if c == text else F.col("row")[c].alias(c) for c in df.columns if c != "n_removed"]
-    return with_cut.select(*columns, F.coalesce(F.col("cut")["n"], F.lit(0).cast("long")).alias("n_removed"))
+    names = [c for c in df.columns if c != "n_removed"]
+    columns = [F.coalesce(F.col("cut")["text"], F.col("row")[c]).alias(c) if c == text else F.col("row")[c].alias(c) for c in names]
+    done = with_cut.select(*columns, F.coalesce(F.col("cut")["n"], F.lit(0).cast("long")).alias("n_removed"))
+    return done.unionByName(untouched.select(*[F.col("row")[c].alias(c) for c in names], F.lit(0).cast("long").alias("n_removed")))
