@@ -5,9 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -53,3 +56,17 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once for each application: their own path may lack it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    place = Path(tempfile.mkdtemp(prefix="pathweave-")) / "pathweave-workers.zip"
+    with zipfile.ZipFile(place, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(place))
+    _shipped.add(context.applicationId)

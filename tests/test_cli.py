@@ -1,0 +1,52 @@
+import io
+
+import pytest
+
+from pathweave import cli
+
+
+@pytest.fixture
+def index(spark, tmp_path):
+    tree = tmp_path / "tree"
+    for f in ("a/one.txt", "a/b/two.TXT", "c/.git/x", "skip/z"):
+        (tree / f).parent.mkdir(parents=True, exist_ok=True)
+        (tree / f).write_text("")
+    args = ["update", "-U", str(tree), "-o", str(tmp_path / "index"), "-n", ".git", "--add-single-prunepath", str(tree / "skip"), "--config", "/nonexistent"]
+    assert cli.main(args) == 0
+    return tree, str(tmp_path / "index"), args
+
+
+def found(spark, *args):
+    out = io.StringIO()
+    status = cli.run_search(spark, cli.parser().parse_args(["search", *args]), out)
+    return status, out.getvalue()
+
+
+def test_update_and_search(spark, index):
+    tree, place, args = index
+    assert found(spark, "-d", place, "txt") == (0, f"{tree}/a/one.txt\n")
+    assert found(spark, "-d", place, "-i", "-0", "txt")[1] == f"{tree}/a/one.txt\0{tree}/a/b/two.TXT\0"
+    names = found(spark, "-d", place, "/")[1].splitlines()
+    assert found(spark, "-d", place, "-c", "/") == (0, f"{len(names)}\n")
+    assert found(spark, "-d", place, "nothing") == (1, "")
+    assert found(spark, "-d", place, "-b", "-r", "^one")[1] == f"{tree}/a/one.txt\n"
+    listed = found(spark, "-d", place, "*")[1].splitlines()
+    assert f"{tree}/skip" in listed and f"{tree}/skip/z" not in listed and f"{tree}/c/.git" in listed and f"{tree}/c/.git/x" not in listed
+
+    (tree / "a/new.txt").write_text("")
+    (tree / "a/one.txt").unlink()
+    assert found(spark, "-d", place, "-e", "one.txt") == (1, "")
+    assert cli.main(args) == 0
+    assert found(spark, "-d", place, "txt") == (0, f"{tree}/a/new.txt\n")
+
+
+def test_build(spark, tmp_path):
+    (tmp_path / "names").write_text("/x/b\n/x/a\n")
+    assert cli.main(["build", "-p", str(tmp_path / "names"), str(tmp_path / "i"), "-l", "no"]) == 0
+    assert found(spark, "-d", str(tmp_path / "i"), "/x") == (0, "/x/b\n/x/a\n")
+
+
+def test_errors(spark, tmp_path, capsys):
+    assert cli.main(["search", "-d", str(tmp_path / "none"), "x"]) == 1
+    assert cli.main(["search", "-d", "a:", "x"]) == 1
+    assert "pathweave:" in capsys.readouterr().err
