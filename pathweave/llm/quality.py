@@ -2,8 +2,8 @@
 
 Each document gets counts over its whole text and rules over the counts.  A host (the ``host`` column) is
 judged by how many of its documents fail any rule: its rate is shrunk towards a beta prior whose mean and
-weight come from all hosts by the method of moments, so that a host with few documents needs more than a few
-failures.  Documents of a host whose shrunk rate is above ``max_rate`` are not kept.
+weight come from the hosts by the method of moments, each host counting once, so that a host with few documents
+needs more than a few failures and one with a third of all documents does not set the prior.  Documents of a host whose shrunk rate is above ``max_rate`` are not kept.
 
 Repeated three-word windows are found without leaving the row: each window's hash, with its position in the
 low bits, goes into one array of longs; sorted, equal hashes are neighbours; their positions, sorted again,
@@ -83,12 +83,12 @@ def host_rates(counted: DataFrame, host: str = "host") -> DataFrame:
     hosts = counted.filter(F.col(host).isNotNull()).groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(any_failed().cast("long")).alias("n_failed"))
     hosts = settled(hosts, "hosts")
     p = F.col("n_failed") / F.col("n_docs")
-    s = hosts.agg(F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f"), F.count("*").alias("h"), F.sum(p * p * F.col("n_docs")).alias("pp")).first()
-    if not s["n"]:
+    s = hosts.agg(F.count("*").alias("h"), F.avg(p).alias("mean"), F.avg(p * p).alias("square"), F.avg(1 / F.col("n_docs")).alias("inverse")).first()
+    if not s["h"]:
         return hosts.withColumn("rate", F.lit(0.0))
-    mean = s["f"] / s["n"]
-    between = max(0.0, s["pp"] / s["n"] - mean * mean)  # the rates' variance, each weighted by its documents
-    within = mean * (1 - mean) * s["h"] / s["n"]  # what chance alone would make of it
+    mean = s["mean"]
+    between = max(0.0, s["square"] - mean * mean)  # the variance of the rates
+    within = mean * (1 - mean) * s["inverse"]  # what chance alone would make of it
     weight = min(1e6, max(2.0, mean * (1 - mean) / (between - within) - 1)) if between > within else 1e6 if mean in (0.0, 1.0) or s["h"] > 1 else 2.0
     return hosts.withColumn("rate", (F.col("n_failed") + mean * weight) / (F.col("n_docs") + weight))
 
