@@ -100,7 +100,7 @@ class Vocabulary:
         if not text:
             return 0
         known, total = self.known, 0
-        for part in self.cut(" " + text):
+        for part in self.cut(" " + text.replace(SPACE, " ")):  # the tokenizer takes both for the same
             n = known.get(part)
             if n is None:
                 n = self.viterbi(part.replace(" ", SPACE))[1]
