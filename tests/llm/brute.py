@@ -1,0 +1,79 @@
+"""Slow and plain versions of what the operators compute."""
+
+import re
+from collections import Counter, defaultdict
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def shingle_set(text):
+    w = words((text or "").translate(LOWER))
+    return frozenset([tuple(w)] if 0 < len(w) < 5 else (tuple(w[i : i + 5]) for i in range(len(w) - 4)))
+
+
+def near_duplicates(rows, percent=85):
+    """(n_shingles, component) for each (key, text) with different keys."""
+    sets = {k: shingle_set(t) for k, t in rows}
+    up = {k: k for k in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    inverted = defaultdict(list)
+    for k, s in sets.items():
+        for other, both in Counter(o for x in s for o in inverted[x]).items():
+            if 100 * both >= percent * (len(s) + len(sets[other]) - both):
+                a, b = find(k), find(other)
+                up[max(a, b)] = min(a, b)
+        for x in s:
+            inverted[x].append(k)
+    return {k: (len(s), find(k)) for k, s in sets.items()}
+
+
+def counts(text):
+    text = text or ""
+    w = words(text)
+    seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {j for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def targets(sizes, weights=(5, 2, 1), repeats=3):
+    """Shares by weight that stop at ``repeats`` times a size."""
+    names = sorted((s for s in sizes if s is not None), key=str.encode) + [None] * (None in sizes)
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    free, left, out = set(names), float(sum(sizes.values())), {}
+    while free:
+        level = left / sum(w[s] for s in free)
+        full = {s for s in free if w[s] * level > repeats * sizes[s]}
+        if not full:
+            return out | {s: w[s] * level for s in free}
+        for s in full:
+            out[s] = float(repeats * sizes[s])
+            left -= out[s]
+        free -= full
+    return out
+
+
+def repeated_chunks_gone(rows, chunks):
+    """Texts without compared chunks that stand earlier, for (key, text) in the order of keys; ``chunks``: of a text."""
+    seen, out = set(), {}
+    for k, t in rows:
+        kept = []
+        for lines, compared in chunks(t):
+            body = "\n".join(lines)
+            if compared and (len(lines), body) in seen:
+                continue
+            if compared:
+                seen.add((len(lines), body))
+            kept.append(body)
+        out[k] = "\n".join(kept)
+    return out
