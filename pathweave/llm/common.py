@@ -1,17 +1,16 @@
-"""What the operators share: word rules, row keys, and tables that cut a lineage."""
+"""What the operators share: word rules, row keys, bit maps of hashes, and what Python workers need."""
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathweave.tables import is_small, settled, ship
+
+__all__ = ["MAP_BITS", "SPACES", "WORD", "bit_map", "is_small", "n_words", "parted", "python_ready", "row_hash", "settled"]
+
 #: The six ASCII white-space characters, and a word: a run of anything else.
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,69 +18,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of a map of hashes at most.
 MAP_BITS = 26
 
-_shipped: set[str] = set()
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (tests on one machine) is a local folder made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pathweave-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
-    except Exception:  # the session is over; the folder's owner clears it  # noqa: BLE001
-        pass
 
 
-@atexit.register
-def _clear() -> None:
-    while _made:
-        spark, path = _made.pop()
-        if spark.sparkContext._jsc is not None:
-            _remove(spark, path)
-
-
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    The lineage ends there, an executor that goes takes nothing with it, and a later pass reads only the
-    columns that it needs.  The tables go when the interpreter ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pathweave-{uuid.uuid4().hex}/{name}"
-    _made.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def python_ready(spark: SparkSession, rows: int = 500) -> None:
+def python_ready(spark: SparkSession, rows: int = 500, size: str = "16m") -> None:
     """What every operator with Python workers asks of a session.
 
-    An Arrow batch holds at most ``rows`` rows, so that a batch of long texts fits a worker's memory, and the
-    workers get this package from the driver if their own path lacks it."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parent.parent
-        place = Path(tempfile.mkdtemp(prefix="pathweave-")) / "pathweave-workers.zip"
-        with zipfile.ZipFile(place, "w") as z:
-            for f in [package / "__init__.py", *sorted((package / "llm").glob("*.py"))]:
-                z.write(f, f.relative_to(package.parent))
-        context.addPyFile(str(place))
-        _shipped.add(context.applicationId)
+    An Arrow batch holds at most ``rows`` rows and about ``size`` bytes, so that long texts fit a worker's memory,
+    and the workers get this package from the driver if their own path lacks it."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def n_words(text: Column) -> Column:
@@ -117,8 +65,3 @@ def parted(rows: DataFrame, column: str, bit_map: tuple[DataFrame, int]) -> tupl
     marked = rows.join(F.broadcast(words), F.shiftright(at, 6) == F.col("_word"), "left")
     maybe = F.coalesce(F.col("_bits").bitwiseAND(_bit(at)) != 0, F.lit(False))
     return marked.filter(maybe).select(*rows.columns), marked.filter(~maybe).select(*rows.columns)
-
-
-def is_small(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than it must."""
-    return df.limit(rows + 1).count() <= rows
