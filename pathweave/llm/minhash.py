@@ -315,8 +315,9 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int =
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` (smallest key reachable), ``kept``, ``row_hash`` of each row."""
     found, labels = link(df, key, text, percent)
-    labelled = found.join(labels, "rid", "left").withColumn("group", F.coalesce("label", "rid"))
-    groups = labelled.filter("group is not null").groupBy("group").agg(F.min("_key").alias("least"))
+    labelled = settled(found.join(labels, "rid", "left").withColumn("group", F.coalesce("label", "rid")), "labelled")
+    # as a table, so that the join below has two exchanges and the rows of a large group can be split
+    groups = settled(labelled.filter("group is not null").groupBy("group").agg(F.min("_key").alias("least")), "groups")
     joined = labelled.join(groups, "group", "left")
     component = F.when(F.col("group").isNull(), F.col("_key")).otherwise(F.col("least"))
     return joined.select(F.col("_key").alias(key), "n_shingles", component.alias("component_id"), F.col("_key").eqNullSafe(component).alias("kept"), F.col("u").alias("row_hash"))
