@@ -3,7 +3,7 @@
 Each stage works on all rows that the one before it kept.  The first four return the columns of ``documents``:
 
 * ``language``: documents whose language can't be told go;
-* ``lines``: repeated chunks of lines go, and documents with nothing else;
+* ``lines``: repeated chunks and runs of lines go, and documents with nothing else;
 * ``near_duplicates``: one document of each group of near-duplicates stays, that with the smallest id;
 * ``mix``: sources are brought to their target weights, by leaving out and by repeating documents;
 * ``tokens``: byte-level BPE ids, with digests of the ids and of the bytes that they decode to.
@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = line_dedup.dedup(docs)
+    cut = line_dedup.dedup(docs, least_words=line_dedup.LEAST_WORDS)
     kept = cut.filter((F.col("n_removed") == 0) | F.col("text").rlike(WORD))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", n_chars).select(*docs.columns)

@@ -46,7 +46,7 @@ def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_dedup
 
-    return line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), least_words=line_dedup.LEAST_WORDS)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
