@@ -7,10 +7,12 @@ scripts, styles, and elements whose role, class or id says menu, advert, notice,
 left out as it streams by.
 
 Each line has a text-to-tag ratio: its characters outside links over its tags.  The ratios are smoothed with a
-Gaussian kernel and clustered by a threshold (two means in one dimension); lines above it are seeds.  The
-content region is the innermost container that holds nearly all seed text, an ``article`` or ``main`` before
-any other.  Inside the region all lines stay, short ones too, except those of containers without a seed whose
-text is mostly links.
+Gaussian kernel and their logarithms clustered by a threshold (two means in one dimension), so that one very
+long paragraph leaves the others what they are; lines above it are seeds.  An ``article`` or ``main`` that holds
+half of the seed text is the content region.  Without one, the core is the innermost container that holds nearly
+all text outside links, and the region is the outermost container around the core whose text is not mostly
+links, so that headlines and blocks beside the core stay.  Inside the region all lines stay, short ones too,
+except those of containers without a seed whose text is mostly links.
 
 Character references are decoded, white space inside a line becomes one space, lines are trimmed and joined by
 line feeds.
@@ -204,6 +206,20 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def _region(lines: list[_Line]) -> int:
+    """The outermost container around the core whose text is not mostly links, or else the core."""
+    chars: dict[int, int] = {}
+    links: dict[int, int] = {}
+    for x in lines:
+        for c in x.path:
+            chars[c] = chars.get(c, 0) + len(x.text)
+            links[c] = links.get(c, 0) + x.links
+    least = NEARLY_ALL * (chars[0] - links[0])
+    core = max(c for c in chars if chars[c] - links[c] >= least)  # numbers grow inwards among containers that hold nearly all
+    around = next(x.path for x in lines if core in x.path)
+    return next((c for c in around[: around.index(core)] if 2 * links[c] <= chars[c]), core)
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -217,6 +233,7 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     ratios = smoothed([(len(x.text) - x.links) / max(1, x.tags) for x in lines])
+    ratios = [math.log1p(r) for r in ratios]
     border = threshold(ratios)
     seeds = [len(x.text) - x.links if r >= border else 0 for x, r in zip(lines, ratios, strict=True)]
     weight: dict[int, int] = {}
@@ -231,10 +248,7 @@ def main_text(html: str | None) -> str:
         chosen = {c for x in lines for c in x.path if c in inside}
         kept = [x for x in lines if not chosen.isdisjoint(x.path)]
     else:
-        region = 0
-        for x in sorted(weight, key=lambda c: (weight[c], c)):
-            if weight[x] >= NEARLY_ALL * total:
-                region = max(region, x)  # numbers grow inwards among containers that hold nearly all
+        region = _region(lines)
         kept = [x for x in lines if region in x.path]
     links: dict[int, list[int]] = {}
     for x in kept:
