@@ -20,6 +20,9 @@ from pathweave.llm.common import WORD, settled
 #: A document whose best language claims less than this share of what its n-grams say has no language.
 LEAST_SCORE = 0.2
 
+#: Hundredths of their union that two documents' shingles have in common when they are near-duplicates.
+PERCENT = 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = langid.fit(docs, ~langid.is_held_out("doc_id"))
@@ -35,7 +38,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, percent=PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

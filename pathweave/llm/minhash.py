@@ -8,13 +8,14 @@ Index.  The 8-bit positions are cut into ``CHUNKS`` chunks.  Two signatures that
 most 2 * CHUNKS - 1 of them differ in at most one position of some chunk (pigeonhole), and then agree in one
 of the keys that leave out one position of a chunk.  Each class enters all its keys, so every pair up to that
 distance meets in a bucket.  At a Jaccard similarity of 0.85, 9 of 60 positions differ in the mean and 20 or
-more in about 2 of 10,000 pairs; at 0.9 in one of ten million.
+more in about 2 of 10,000 pairs; at 0.9 in one of ten million.  Most pairs beyond that distance meet too: at
+0.80 a chunk has at most one error with a chance of 0.66, and none of the ten has for 2 or 3 of 100,000 pairs.
 
 Links.  No bucket emits all its pairs.  First each bucket's members are compared with one member, the one whose
 keys are shared most (the original among its copies).  What links is joined to components.  Then only members
 of different components are compared, within buckets, as signatures in numpy blocks; a pair is reported in one
 of the buckets that it shares, and only if the 4-bit signatures differ in at most ``FAR`` positions (a pair at
-0.85 does but for 1 in 10,000; one at 0.75 seldom does).  Members of a bucket larger than ``BLOCK`` go to pairs of blocks.  All reported
+0.85 does but for 1 in 10,000; one at 0.75 seldom does); ``far`` has the bound for a lower similarity.  Members of a bucket larger than ``BLOCK`` go to pairs of blocks.  All reported
 pairs are confirmed on the full sets, which are 64-bit hashes of the shingles.
 
 Cases: a document without words, or with a null text, has the empty set and is linked with nothing; equal
@@ -25,6 +26,7 @@ two are confused with a chance of n * n / 2 ** 65.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,13 +154,19 @@ def _beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs
 
 
-def _near(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs whose signatures differ in at most ``FAR`` positions."""
+def far(percent: int) -> int:
+    """Positions in which signatures of linked pairs differ at most: ``FAR`` for 85 and more, or else 4.4 standard deviations above the mean."""
+    p = (1 - percent / 100) * 15 / 16
+    return FAR if percent >= 85 else max(FAR, math.floor(POSITIONS * p + 4.4 * math.sqrt(POSITIONS * p * (1 - p))))
+
+
+def _near(pairs: DataFrame, reps: DataFrame, most: int) -> DataFrame:
+    """The pairs whose signatures differ in at most ``most`` positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                ok = _distance(_matrix(b.column("sig_a")), _matrix(b.column("sig_b"))) <= FAR
+                ok = _distance(_matrix(b.column("sig_a")), _matrix(b.column("sig_b"))) <= most
                 yield b.select(["a", "b"]).filter(pa.array(ok))
 
     return _beside(pairs, reps, "sig").mapInArrow(run, "a long, b long")
@@ -229,7 +237,7 @@ def _first_meeting(differs: np.ndarray) -> np.ndarray:
     return np.where(meets[rows, c], c * WIDTH + j, -1)
 
 
-def _group_pairs(index: int, rid: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: np.ndarray, within: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _group_pairs(index: int, rid: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: np.ndarray, within: bool, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs of one bucket, or of two blocks of it, that are near and meet here first."""
     left = np.flatnonzero(side == 0)
     right = left if within else np.flatnonzero(side == 1)
@@ -243,14 +251,14 @@ def _group_pairs(index: int, rid: np.ndarray, comp: np.ndarray, side: np.ndarray
         i, j = i[ok], j[ok]
         if not len(i):
             continue
-        ok = _distance(sig[i], sig[j]) <= FAR
+        ok = _distance(sig[i], sig[j]) <= most
         i, j = i[ok], j[ok]
         if len(i):
             ok = _first_meeting(sig[i, :INDEX] != sig[j, :INDEX]) == index
             yield rid[i[ok]], rid[j[ok]]
 
 
-def _rest(shared: DataFrame, centers: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
+def _rest(shared: DataFrame, centers: DataFrame, comps: DataFrame, reps: DataFrame, most: int) -> DataFrame:
     """Pairs of different components that share a bucket, without its center: ``a``, ``b``."""
     label = F.coalesce("label", F.col("rid")).alias("comp")
     members = shared.filter("n > 2").join(comps, "rid", "left").select("key", "rid", "n", label)
@@ -269,7 +277,7 @@ def _rest(shared: DataFrame, centers: DataFrame, comps: DataFrame, reps: DataFra
         def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
             key, i, j, side, rid, comp, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
             if len(rid) > 1:
-                for a, b in _group_pairs(int(key[0]) >> bits, rid, comp, side, sig, bool(i[0] == j[0])):
+                for a, b in _group_pairs(int(key[0]) >> bits, rid, comp, side, sig, bool(i[0] == j[0]), most):
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -304,8 +312,8 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int =
     star = shared.join(centers, "key").filter(F.col("rid") != F.col("center"))
     star = star.select(F.least("rid", "center").alias("a"), F.greatest("rid", "center").alias("b")).distinct()
     sets = settled(_sets(df, key, text, found, popular.select("rid")), "sets")
-    first = settled(_linked(_near(star, reps), sets, percent), "links")
-    rest = settled(_rest(shared, centers, components(first), reps).distinct(), "rest")
+    first = settled(_linked(_near(star, reps, far(percent)), sets, percent), "links")
+    rest = settled(_rest(shared, centers, components(first), reps, far(percent)).distinct(), "rest")
     links = first
     if not rest.isEmpty():
         links = links.unionByName(settled(_linked(rest, sets, percent), "more"))
