@@ -121,16 +121,22 @@ class Filters:
         return total, found[: len(self.languages)]
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
+
+    def judge(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its share of all languages' corrected counts, and the share of the text's n-grams that are its own.
+
+        The last does not depend on the number of languages."""
         if not text or not self.languages:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         total, found = self.counts(text)
         if not total:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         right = np.maximum(0.0, (found - total * self.wrong) / (1 - self.wrong))
         if not right.any():
-            return self.languages[self.usual], 0.0
+            return self.languages[self.usual], 0.0, 0.0
         best = int(right.argmax())
-        return self.languages[best], float(right[best] / right.sum())
+        return self.languages[best], float(right[best] / right.sum()), float(right[best] / total)
 
 
 def key_text(key: str) -> Column:
@@ -177,19 +183,21 @@ def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", l
     return Filters(languages, filters.planes, s.hashes, usual)
 
 
-def predict(df: DataFrame, filters: Filters, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to the columns ``keep`` (all)."""
+def predict(df: DataFrame, filters: Filters, text: str = "text", keep: list[str] | None = None, share: str | None = None) -> DataFrame:
+    """Add ``lang_pred``, ``score`` and, if ``share`` names it, the share of n-grams known to the columns ``keep`` (all)."""
     spark = df.sparkSession
     python_ready(spark)
-    stay = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    fields = [*[df.schema[c] for c in stay], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    stay = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score", share)]
+    fields = [*[df.schema[c] for c in stay], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField(share, T.DoubleType())] if share else [])]
+    names = [f.name for f in fields]
     shared = spark.sparkContext.broadcast(filters)  # its size is fixed by Settings.slots and the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
         for b in batches:
-            found = [f.predict(t) for t in b.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in stay], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*stay, "lang_pred", "score"])
+            found = [f.judge(t) for t in b.column(text).to_pylist()]
+            known = [pa.array([x[2] for x in found], pa.float64())] if share else []
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in stay], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), *known], names=names)
 
     return df.mapInArrow(run, T.StructType(fields))
 
