@@ -8,7 +8,7 @@ needs more than a few failures and one with a third of all documents does not se
 Repeated three-word windows are found without leaving the row: each window's hash, with its position in the
 low bits, goes into one array of longs; sorted, equal hashes are neighbours; their positions, sorted again,
 give the words that the windows cover.  Hashes keep 64 bits less those of the position, and neighbours that
-agree are compared word by word.
+agree are compared word by word; a window beside another one of the same hash is compared with all.
 
 Cases: a null or empty text has no words and fails; a null host is no host, and such documents are judged by
 the base rules alone; repeated rows are counted each; an empty table gives an empty table; texts are read
@@ -61,7 +61,16 @@ def features(df: DataFrame, text: str = "text", keep: list[str] | None = None) -
             equal = equal & (F.get(w, place(x) + d) == F.get(w, place(y) + d))
         return equal
 
-    twice = F.filter(k, lambda x, i: ((i > 0) & same(x, F.get(k, i - 1))) | ((i + 1 < F.size(k)) & same(x, F.get(k, i + 1))))
+    def meets(x: Column, i: Column, test) -> Column:
+        return ((i > 0) & test(x, F.get(k, i - 1))) | ((i + 1 < F.size(k)) & test(x, F.get(k, i + 1)))
+
+    def alike(x: Column, y: Column) -> Column:
+        return x.bitwiseAND(mask) == y.bitwiseAND(mask)
+
+    def anywhere(x: Column) -> Column:
+        return F.exists(k, lambda y: (y != x) & same(x, y))
+
+    twice = F.filter(k, lambda x, i: meets(x, i, same) | (meets(x, i, alike) & anywhere(x)))
     d = c.withColumn("_at", F.sort_array(F.transform(twice, place)))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate("_at", start, lambda s, x: F.struct(x.alias("last"), (s["n"] + F.least(F.lit(3), x - s["last"])).alias("n")), lambda s: s["n"])
