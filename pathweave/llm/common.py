@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pathweave.tables import is_small, settled, ship
 
-__all__ = ["MAP_BITS", "SPACES", "WORD", "bit_map", "is_small", "n_words", "parted", "python_ready", "row_hash", "settled"]
+__all__ = ["MAP_BITS", "SPACES", "WORD", "bit_map", "columns_of", "is_small", "n_words", "parted", "python_ready", "row_hash", "settled", "unused"]
 
 #: The six ASCII white-space characters, and a word: a run of anything else.
 SPACES = r"[\x20\x09-\x0D]"
@@ -19,7 +19,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 MAP_BITS = 26
 
 
-
 def python_ready(spark: SparkSession, rows: int = 500, size: str = "16m") -> None:
     """What every operator with Python workers asks of a session.
 
@@ -32,6 +31,23 @@ def python_ready(spark: SparkSession, rows: int = 500, size: str = "16m") -> Non
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def columns_of(df: DataFrame, *without: str) -> list[Column]:
+    """All columns of ``df`` but those named (case does not matter), whatever characters their names have."""
+    gone = {w.lower() for w in without}
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in gone]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until ``df`` has no column of that name (case does not matter)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def n_words(text: Column) -> Column:
     """Words of ``text`` as a long; 0 for null."""
     spaced = F.regexp_replace(text, WORD, "x")
@@ -59,7 +75,9 @@ def _bit(at: Column) -> Column:
 
 
 def parted(rows: DataFrame, column: str, bit_map: tuple[DataFrame, int]) -> tuple[DataFrame, DataFrame]:
-    """The rows whose hash may be among those of the map, and those whose hash is not.  No row is shuffled."""
+    """The rows whose hash may be among those of the map, and those whose hash is not.  No row is shuffled.
+
+    ``rows`` has the caller's columns in a struct, if they may be named like those of the map."""
     words, bits = bit_map
     at = F.col(column).bitwiseAND((1 << bits) - 1)
     marked = rows.join(F.broadcast(words), F.shiftright(at, 6) == F.col("_word"), "left")

@@ -8,43 +8,51 @@ Index.  The 8-bit positions are cut into ``CHUNKS`` chunks.  Two signatures that
 most 2 * CHUNKS - 1 of them differ in at most one position of some chunk (pigeonhole), and then agree in one
 of the keys that leave out one position of a chunk.  Each class enters all its keys, so every pair up to that
 distance meets in a bucket.  At a Jaccard similarity of 0.85, 9 of 60 positions differ in the mean and 20 or
-more in about 2 of 10,000 pairs; at 0.9 in one of ten million.  Most pairs beyond that distance meet too: at
-0.80 a chunk has at most one error with a chance of 0.66, and none of the ten has for 2 or 3 of 100,000 pairs.
-
-Links.  No bucket emits all its pairs.  First each bucket's members are compared with one member, the one whose
-keys are shared most (the original among its copies).  What links is joined to components.  Then only members
-of different components are compared, within buckets, as signatures in numpy blocks; a pair is reported in one
-of the buckets that it shares, and only if the 4-bit signatures differ in at most ``FAR`` positions (a pair at
-0.85 does but for 1 in 10,000; one at 0.75 seldom does); ``far`` has the bound for a lower similarity.  Members of a bucket larger than ``BLOCK`` go to pairs of blocks.  All reported
-pairs are confirmed on the full sets, which are 64-bit hashes of the shingles.
+more in about 2 of 10,000 pairs; at 0.9 in one of ten million.  Most pairs beyond that distance meet too: a
+pair misses all buckets only with two errors or more in each chunk, which happens to 3 of 10,000,000 pairs at
+0.85 and to 2 or 3 of 100,000 at 0.80.
+
+Near pairs.  Two classes are near if their 4-bit signatures differ in at most ``far(percent)`` positions, six
+standard deviations above the mean of pairs at that similarity.  No bucket emits all its pairs.  Each
+bucket's members are first compared with one member, the one whose keys are shared most (the original among its
+copies); then only those that these pairs leave in different components are compared with one another, and a
+bucket gives no more than a spanning forest of its near pairs.  What near pairs join is a group.
+
+Links.  Each class's near pairs with the buckets' chosen members are confirmed on the full sets (64-bit hashes of
+the shingles).  Only a group that these links leave in several components is looked at again: its members
+outside its largest component meet all its members, near pairs are confirmed in the order of their distance, and
+a pair that earlier links join already is passed over, so a block gives no more links than it has members.  Both
+comparisons work in blocks of at most ``BLOCK`` members and ``BLOCK_BYTES`` of sets on each side: no task holds a
+whole bucket or group.
 
 Cases: a document without words, or with a null text, has the empty set and is linked with nothing; equal
 rows are in one class; a null key never is a component's smallest key unless all keys in it are null; an empty
-table gives an empty table; texts are read whole.  Ids of classes are 64-bit hashes of sets: among n classes
-two are confused with a chance of n * n / 2 ** 65.
+table gives an empty table; texts are read whole; ``keep_one`` returns all columns of its input as they are,
+whatever their names.  Ids of classes are 64-bit hashes of sets: among n classes two are confused with a chance
+of n * n / 2 ** 65.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_map, parted, python_ready, row_hash, settled
+from .common import bit_map, columns_of, parted, python_ready, row_hash, settled
 
 SHINGLE = 5
 POSITIONS = 512
 CHUNKS, WIDTH = 10, 6
 INDEX = CHUNKS * WIDTH
 BYTES = INDEX + POSITIONS // 2
-FAR = 102
-BLOCK = 2048
-REMEMBERED = 200_000
+BLOCK = 1024
+BLOCK_BYTES = 8 << 20
+REMEMBERED = 50_000
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 31, POSITIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -95,18 +103,39 @@ def signature(hashes: np.ndarray) -> bytes:
     return least[:INDEX].tobytes() + (least[::2] & 15 | least[1::2] << 4).tobytes()
 
 
-#: Positions in which two packed bytes differ, by their exclusive or.
-_DIFFER = np.array([bool(x & 15) + bool(x >> 4) for x in range(256)], np.uint8)
+def _packed(sig: np.ndarray) -> np.ndarray:
+    """The 4-bit parts of signatures (rows), 16 to a word."""
+    return np.ascontiguousarray(sig[:, INDEX:]).view(np.uint64)
 
 
 def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Positions in which rows of signatures differ, by their 4 bits."""
-    return _DIFFER[x[:, INDEX:] ^ y[:, INDEX:]].sum(axis=1, dtype=np.int64)
+    """Positions in which rows of packed signatures differ."""
+    d = x ^ y
+    d |= d >> np.uint64(1)
+    d |= d >> np.uint64(2)
+    return np.bitwise_count(d & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64)
+
+
+def far(percent: int) -> int:
+    """Positions in which signatures of linked pairs differ at most: six standard deviations above the mean at ``percent``."""
+    p = (1 - percent / 100) * 15 / 16
+    return math.floor(POSITIONS * p + 6 * math.sqrt(POSITIONS * p * (1 - p)))
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have at least ``percent`` hundredths of their union in common."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int(np.count_nonzero(large[at] == small))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """``_key``, ``u`` (row hash), ``n_shingles``, ``rid`` (class; null for the empty set), ``sig``."""
-    python_ready(df.sparkSession)
+    python_ready(df.sparkSession, size="4m")
     rows = df.select(F.col(key).alias("_key"), row_hash(key, text).alias("u"), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,25 +177,19 @@ def keys(reps: DataFrame) -> DataFrame:
 
 
 def _beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """``pairs`` (``a``, ``b``) with ``column`` of both ends."""
+    """``pairs`` (``a``, ``b``) with ``column`` of both ends.  The column is wide, so no side is broadcast."""
     for end in ("a", "b"):
-        pairs = pairs.join(table.select(F.col("rid").alias(end), F.col(column).alias(f"{column}_{end}")), end)
+        pairs = pairs.join(table.select(F.col("rid").alias(end), F.col(column).alias(f"{column}_{end}")).hint("merge"), end)
     return pairs
 
 
-def far(percent: int) -> int:
-    """Positions in which signatures of linked pairs differ at most: ``FAR`` for 85 and more, or else 4.4 standard deviations above the mean."""
-    p = (1 - percent / 100) * 15 / 16
-    return FAR if percent >= 85 else max(FAR, math.floor(POSITIONS * p + 4.4 * math.sqrt(POSITIONS * p * (1 - p))))
-
-
 def _near(pairs: DataFrame, reps: DataFrame, most: int) -> DataFrame:
     """The pairs whose signatures differ in at most ``most`` positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                ok = _distance(_matrix(b.column("sig_a")), _matrix(b.column("sig_b"))) <= most
+                ok = _distance(_packed(_matrix(b.column("sig_a"))), _packed(_matrix(b.column("sig_b")))) <= most
                 yield b.select(["a", "b"]).filter(pa.array(ok))
 
     return _beside(pairs, reps, "sig").mapInArrow(run, "a long, b long")
@@ -177,17 +200,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):  # views, no copies
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                if 100 * len(small) < percent * len(large):
-                    ok.append(False)
-                    continue
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int(np.count_nonzero(large[at] == small))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            both = zip(b.column("set_a"), b.column("set_b"), strict=True)  # views, no copies
+            ok = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in both]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return _beside(pairs, sets, "set").mapInArrow(run, "a long, b long")
@@ -226,98 +240,150 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _first_meeting(differs: np.ndarray) -> np.ndarray:
-    """For signatures' differences, the number of the first key that a pair shares; -1 if none."""
-    chunks = differs.reshape(len(differs), CHUNKS, WIDTH)
-    errors = chunks.sum(axis=2)
-    meets = errors <= 1
-    c = meets.argmax(axis=1)
-    rows = np.arange(len(differs))
-    j = np.where(errors[rows, c] == 1, chunks[rows, c].argmax(axis=1), 0)
-    return np.where(meets[rows, c], c * WIDTH + j, -1)
-
-
-def _group_pairs(index: int, rid: np.ndarray, comp: np.ndarray, side: np.ndarray, sig: np.ndarray, within: bool, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of one bucket, or of two blocks of it, that are near and meet here first."""
-    left = np.flatnonzero(side == 0)
-    right = left if within else np.flatnonzero(side == 1)
-    step = max(1, (1 << 16) // max(1, len(right)))
-    for at in range(0, len(left), step):
-        i, j = np.meshgrid(left[at : at + step], right, indexing="ij")
-        i, j = i.ravel(), j.ravel()
-        ok = comp[i] != comp[j]
-        if within:
-            ok &= i < j
-        i, j = i[ok], j[ok]
-        if not len(i):
-            continue
-        ok = _distance(sig[i], sig[j]) <= most
-        i, j = i[ok], j[ok]
-        if len(i):
-            ok = _first_meeting(sig[i, :INDEX] != sig[j, :INDEX]) == index
-            yield rid[i[ok]], rid[j[ok]]
-
-
-def _rest(shared: DataFrame, centers: DataFrame, comps: DataFrame, reps: DataFrame, most: int) -> DataFrame:
-    """Pairs of different components that share a bucket, without its center: ``a``, ``b``."""
-    label = F.coalesce("label", F.col("rid")).alias("comp")
-    members = shared.filter("n > 2").join(comps, "rid", "left").select("key", "rid", "n", label)
-    members = settled(members.join(centers, "key").filter(F.col("rid") != F.col("center")).drop("center"), "members")
-    mixed = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = members.join(mixed, "key", "left_semi").join(reps, "rid").withColumn("own", F.pmod(F.col("rid"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rid", "comp", "sig")
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    bits = 8 * (WIDTH - 1)
+class _Parts:
+    """Disjoint sets of the numbers under ``n``."""
+
+    def __init__(self, n: int):
+        self.above, self.n = list(range(n)), n
+
+    def top(self, i: int) -> int:
+        above = self.above
+        while above[i] != i:
+            above[i] = i = above[above[i]]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.top(i), self.top(j)
+        if i != j:
+            self.above[max(i, j)] = min(i, j)
+            self.n -= 1
+
+
+def _forest(right: np.ndarray, rid: np.ndarray, comp: np.ndarray, only: np.ndarray, sig: np.ndarray, sets: list[np.ndarray] | None, most: int, percent: int) -> list[tuple[int, int]]:
+    """Near pairs (confirmed, if there are ``sets``) of left and right rows that join components: no more than it takes.
+
+    ``only``: whether a right row is a left row of another block or of this one, so that the pair is seen twice."""
+    left, right = np.flatnonzero(~right), np.flatnonzero(right)
+    packed = _packed(sig)
+    across, found = packed[right], []
+    for i in left.tolist():
+        apart = (comp[right] != comp[i]) & (~only[right] | (rid[right] > rid[i]))
+        if apart.any():
+            d = _distance(across, packed[i])
+            at = np.flatnonzero(apart & (d <= most))
+            if len(at):
+                found.append((d[at], np.full(len(at), i), right[at]))
+    if not found:
+        return []
+    d, x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(d, kind="stable")
+    numbers = np.unique(comp, return_inverse=True)[1].tolist()
+    parts, out = _Parts(max(numbers) + 1), []
+    for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        p, q = parts.top(numbers[i]), parts.top(numbers[j])
+        if p != q and (sets is None or _alike(sets[i], sets[j], percent)):
+            parts.join(p, q)
+            out.append((min(int(rid[i]), int(rid[j])), max(int(rid[i]), int(rid[j]))))
+            if parts.n == 1:
+                break
+    return out
+
+
+def _across(members: DataFrame, reps: DataFrame, sets: DataFrame | None, most: int, percent: int) -> DataFrame:
+    """Pairs ``a``, ``b`` that join different components (``comp``) of a group ``g``; ``members``: ``g``, ``rid``, ``comp``, ``size``.
+
+    Members outside a group's largest component are the left side, all members the right one; both go in blocks."""
+    members = settled(members, "members")
+    each = members.groupBy("g", "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    one = F.max_by(F.struct("comp", "n", "size"), F.struct("n", "comp"))
+    whole = each.groupBy("g").agg(F.count("*").alias("comps"), F.sum("n").alias("n"), F.sum("size").alias("size"), one.alias("main")).filter("comps > 1")
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+
+    n, size, main = F.col("n"), F.col("size"), F.col("main")
+    plan = whole.select("g", main["comp"].alias("main"), blocks(n - main["n"], size - main["size"]).alias("lefts"), blocks(n, size).alias("rights"))
+    rows = members.join(settled(plan, "blocks"), "g").join(reps.select("rid", "sig").hint("merge"), "rid")
+    columns = ["g", "rid", "comp", "sig"]
+    if sets is not None:
+        rows, columns = rows.join(sets.hint("merge"), "rid"), [*columns, "set"]
+    outside = F.col("comp") != F.col("main")
+
+    def deal(count: str, body: Callable[[Column, Column], Column]) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.col(count) - 1), lambda k: body(k, F.pmod(F.xxhash64("rid"), F.col("lefts" if count == "rights" else "rights")).cast("int")))
+
+    as_left = F.when(outside, deal("rights", lambda k, own: F.struct(own.alias("i"), k.alias("j"), F.lit(False).alias("right"))))
+    as_right = deal("lefts", lambda k, own: F.struct(k.alias("i"), own.alias("j"), F.lit(True).alias("right")))
+    rows = rows.withColumn("at", F.explode(F.concat(F.coalesce(as_left, F.array().cast("array<struct<i:int,j:int,right:boolean>>")), as_right)))
+    rows = rows.select("at.*", outside.alias("outside"), *columns)
+    dealt = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            key, i, j, side, rid, comp, sig = (np.concatenate(x) for x in zip(*parts, strict=True))
-            if len(rid) > 1:
-                for a, b in _group_pairs(int(key[0]) >> bits, rid, comp, side, sig, bool(i[0] == j[0]), most):
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            right, only = (t.column(c).to_numpy(zero_copy_only=False) for c in ("right", "outside"))
+            rid, comp = t.column("rid").to_numpy(), t.column("comp").to_numpy()
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")] if "set" in t.column_names else None
+            found = _forest(right, rid, comp, only, _matrix(t.column("sig")), own, most, percent) if len(t) > 1 else []
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for b in batches:
             if not len(b):
                 continue
-            columns = [b.column(c).to_numpy() for c in ("key", "i", "j", "side", "rid", "comp")] + [_matrix(b.column("sig"))]
-            new = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0) | (np.diff(columns[2]) != 0)) + 1
-            edges = [0, *new.tolist(), len(b)]
+            at = np.stack([b.column(c).to_numpy() for c in ("g", "i", "j")])
+            edges = [0, *(np.flatnonzero((np.diff(at) != 0).any(axis=0)) + 1).tolist(), len(b)]
             for lo, hi in zip(edges, edges[1:], strict=False):
-                part = tuple(c[lo:hi] for c in columns)
-                if held and any(held[-1][x][-1] != part[x][0] for x in (0, 1, 2)):
-                    yield from flush(held)
-                    held = []
+                part = b.slice(lo, hi - lo)
+                if held and any(held[-1].column(c)[0] != part.column(c)[0] for c in ("g", "i", "j")):
+                    yield from flush()
+                    held.clear()
                 held.append(part)
         if held:
-            yield from flush(held)
+            yield from flush()
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _in(labels: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the label of their ``rid`` as ``name``: its own id where it has none."""
+    return rows.join(labels, "rid", "left").withColumn(name, F.coalesce("label", F.col("rid"))).drop("label")
+
+
 def link(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """All rows' classes (``_key``, ``u``, ``n_shingles``, ``rid``) and the labels of the classes that have links."""
+    most = far(percent)
     found = settled(classes(df, key, text), "classes")
-    reps = settled(found.filter("rid is not null").select("rid", "sig").dropDuplicates(["rid"]), "signatures")
+    reps = settled(found.filter("rid is not null").select("rid", "sig", F.col("n_shingles").alias("n")).dropDuplicates(["rid"]), "signatures")
     each = keys(reps)
     counts = settled(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
     shared = settled(each.join(counts, "key"), "shared")
     popular = settled(shared.groupBy("rid").agg(F.sum("n").alias("popular")), "popular")
     best = F.max_by("rid", F.struct("popular", -F.col("rid")))
     centers = settled(shared.join(popular, "rid").groupBy("key").agg(best.alias("center")), "centers")
-    star = shared.join(centers, "key").filter(F.col("rid") != F.col("center"))
-    star = star.select(F.least("rid", "center").alias("a"), F.greatest("rid", "center").alias("b")).distinct()
-    sets = settled(_sets(df, key, text, found, popular.select("rid")), "sets")
-    first = settled(_linked(_near(star, reps, far(percent)), sets, percent), "links")
-    rest = settled(_rest(shared, centers, components(first), reps, far(percent)).distinct(), "rest")
-    links = first
+    beside = shared.join(centers, "key").filter(F.col("rid") != F.col("center"))
+    star = beside.select(F.least("rid", "center").alias("a"), F.greatest("rid", "center").alias("b")).distinct()
+    near = settled(_near(star, reps, most), "near")
+
+    # groups: what near pairs join
+    groups = components(near)
+    others = _in(groups, beside.filter("n > 2").select(F.col("key").alias("g"), "rid"), "comp").withColumn("size", F.lit(BYTES).cast("long"))
+    more = settled(_across(others, reps, None, most, percent).distinct(), "more")
+    if not more.isEmpty():
+        groups = components(near.unionByName(more))
+
+    # links: near pairs that their sets confirm, and what they leave apart in a group
+    sets = settled(_sets(df, key, text, found, groups.select("rid")), "sets")
+    links = settled(_linked(near, sets, percent), "links")
+    labels = components(links)
+    members = _in(labels, groups.withColumnRenamed("label", "g"), "comp").join(reps.select("rid", (8 * F.col("n")).alias("size")), "rid")
+    rest = settled(_across(members, reps, sets, most, percent), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(settled(_linked(rest, sets, percent), "more"))
-    return found.drop("sig"), components(links)
+        labels = components(links.unionByName(rest))
+    return found.drop("sig"), labels
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -333,6 +399,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
     """The rows of ``df`` that are their component's smallest key; of rows alike in that key, all that are alike in text."""
-    gone = settled(near_duplicates(df, key, text, percent).filter("not kept").select(F.col("row_hash").alias("_u")).distinct(), "gone")
-    maybe, untouched = parted(df.withColumn("_u", row_hash(key, text)), "_u", bit_map(gone, "_u"))
-    return maybe.join(gone.hint("merge"), "_u", "left_anti").select(*df.columns).unionByName(untouched.select(*df.columns))
+    gone = settled(near_duplicates(df.select(key, text), key, text, percent).filter("not kept").select(F.col("row_hash").alias("u")).distinct(), "gone")
+    rows = df.select(F.struct(*columns_of(df)).alias("row"), row_hash(key, text).alias("u"))
+    maybe, untouched = parted(rows, "u", bit_map(gone, "u"))
+    return maybe.join(gone.hint("merge"), "u", "left_anti").select("row.*").unionByName(untouched.select("row.*"))

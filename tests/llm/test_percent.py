@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pathweave.llm import minhash
 
@@ -36,6 +37,25 @@ def test_stage_on_documents(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == sorted(expected)
 
 
-@pytest.mark.parametrize(("percent", "most"), [(95, 102), (85, 102), (80, 134)])
+@pytest.mark.parametrize(("percent", "most"), [(95, 52), (85, 119), (80, 148)])
 def test_far(percent, most):
     assert minhash.far(percent) == most
+
+
+@pytest.mark.parametrize(("percent", "shared"), [(85, 340), (80, 320)])
+def test_pairs_at_the_threshold_are_near_and_meet(percent, shared):
+    rng, most = np.random.default_rng(percent), minhash.far(percent)
+    for _ in range(1500):
+        x = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+        own = (400 - shared) // 2
+        a, b = (np.frombuffer(minhash.signature(s), np.uint8)[None] for s in (x[: shared + own], np.concatenate([x[:shared], x[shared + own :]])))
+        assert minhash._distance(minhash._packed(a), minhash._packed(b))[0] <= most
+        errors = (a[0, : minhash.INDEX] != b[0, : minhash.INDEX]).reshape(minhash.CHUNKS, minhash.WIDTH).sum(axis=1)
+        assert errors.min() <= 1
+
+
+def test_distance_counts_positions():
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 256, (2, 50, minhash.BYTES), dtype=np.uint8)
+    parts = [np.stack([z[:, minhash.INDEX :] & 15, z[:, minhash.INDEX :] >> 4]) for z in (x, y)]
+    assert minhash._distance(minhash._packed(x), minhash._packed(y)).tolist() == (parts[0] != parts[1]).sum(axis=(0, 2)).tolist()
