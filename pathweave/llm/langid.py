@@ -13,7 +13,9 @@ language, chosen by a hash of the key, so that it is the same in each run.  Pred
 
 Cases: a null text, an empty one and one without a letter give ``und`` and score 0; ties go to the language
 that is first by code point; a text whose n-grams are all unknown gets the most frequent language with
-score 0; without any labelled row all predictions are ``und``; a null key counts as an empty key.
+score 0; without any labelled row all predictions are ``und``; a null key counts as an empty key; equal texts, and repeated
+rows, have equal results; long texts are read whole, in blocks; an empty table gives an empty table; other columns
+pass ``predict`` but for those named like its results, which are replaced.
 """
 
 from __future__ import annotations
@@ -183,12 +185,12 @@ def fit(df: DataFrame, train: Column, key: str = "doc_id", text: str = "text", l
     return Filters(languages, filters.planes, s.hashes, usual)
 
 
-def predict(df: DataFrame, filters: Filters, text: str = "text", keep: list[str] | None = None, share: str | None = None) -> DataFrame:
-    """Add ``lang_pred``, ``score`` and, if ``share`` names it, the share of n-grams known to the columns ``keep`` (all)."""
+def predict(df: DataFrame, filters: Filters, text: str = "text", keep: list[str] | None = None, share: str | None = None, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add ``out`` (language and score) and, if ``share`` names it, the share of n-grams known to the columns ``keep`` (all)."""
     spark = df.sparkSession
     python_ready(spark)
-    stay = [c for c in (df.columns if keep is None else keep) if c not in ("lang_pred", "score", share)]
-    fields = [*[df.schema[c] for c in stay], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField(share, T.DoubleType())] if share else [])]
+    stay = [c for c in (df.columns if keep is None else keep) if c.lower() not in {str(x).lower() for x in (*out, share)}]
+    fields = [*[df.schema[c] for c in stay], T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType()), *([T.StructField(share, T.DoubleType())] if share else [])]
     names = [f.name for f in fields]
     shared = spark.sparkContext.broadcast(filters)  # its size is fixed by Settings.slots and the languages
 

@@ -12,7 +12,8 @@ a rest takes every document q times and those below the rest's threshold once mo
 
 Cases: a null text has no words; a null source is a source of its own, the last in order; rows alike in key
 and text have one hash and are taken alike; a document without words is copied as its hash says; an empty
-table gives an empty mix.  Reruns agree: nothing depends on the order of rows or on chance.
+table gives an empty mix; long texts are counted whole; ``apply_mix`` returns all columns as they are, whatever their names,
+and ``mix`` none but its own.  Reruns agree: nothing depends on the order of rows or on chance.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import is_small, n_words, row_hash, settled
+from .common import columns_of, is_small, n_words, row_hash, settled
 
 #: Bits of the hash that one histogram resolves, and bits of the hash.
 STEP, BITS = 13, 63
@@ -118,7 +119,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 def apply_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), max_repeats: int = 3) -> DataFrame:
     """The rows of ``df``, each as often as the mix takes it."""
     _, plan, small = plan_mix(df, key, text, source, weights, max_repeats)
-    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(source).alias("s"), _hash(key, text).alias("u"))
+    rows = df.select(F.struct(*columns_of(df)).alias("row"), F.col(source).alias("s"), _hash(key, text).alias("u"))
     copies = F.col("q") + (F.col("u") < F.col("below")).cast("int")
     taken = _beside(rows, plan, small).select("row", copies.alias("n")).filter("n > 0")
     return taken.select("row", F.explode(F.array_repeat(F.lit(0), F.col("n")))).select("row.*")

@@ -11,8 +11,13 @@ The text is cut before each run of spaces and around code points that occur in n
 across such a cut (checked when the vocabulary is read; a vocabulary with such pieces is not cut at spaces),
 so the parts' best segmentations make up the text's, and a worker remembers the counts of parts.
 
+Scores are those of the model's file, as doubles: sums of ranks up to 2 ** 53 are exact, so ties are ties.  A file of a
+BPE model gives ranks for scores; what is counted then is the best segmentation under these scores, not the
+pieces that the BPE merges would leave.
+
 Cases: a null text is an empty one and has 0 tokens; texts are counted whole, whatever their length; equal
-texts have equal counts; an empty table gives an empty table.
+texts, and repeated rows, have equal counts; ties in score go to the segmentation that the tokenizer takes; an empty table
+gives an empty table; other columns pass through, but for one named like ``out``, which is replaced.
 """
 
 from __future__ import annotations
@@ -29,8 +34,7 @@ from .common import python_ready
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 400_000
-LOWEST = -40_000.0
+REMEMBERED = 200_000
 
 
 class Vocabulary:
@@ -56,14 +60,13 @@ class Vocabulary:
         self.known: dict[str, int] = {}
 
     @classmethod
-    def from_sentencepiece(cls, path: str, lowest: float = LOWEST) -> Vocabulary:
-        """The normal pieces of a model file with the scores that it gives them, none below ``lowest``: models give
-        pieces that they do not rank scores so low that single floats lose all others beside them."""
+    def from_sentencepiece(cls, path: str) -> Vocabulary:
+        """The normal pieces of a model file with the scores that it gives them."""
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(m.get_piece_size())
-        normal = [(m.id_to_piece(i), max(lowest, m.get_score(i))) for i in ids if not (m.is_unknown(i) or m.is_control(i) or m.is_byte(i) or m.is_unused(i))]
+        normal = [(m.id_to_piece(i), m.get_score(i)) for i in ids if not (m.is_unknown(i) or m.is_control(i) or m.is_byte(i) or m.is_unused(i))]
         return cls(normal, any(m.is_byte(i) for i in ids))
 
     def viterbi(self, part: str) -> tuple[float, int]:
@@ -120,7 +123,7 @@ def vocabulary(path: str) -> Vocabulary:
 def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tokens", keep: list[str] | None = None) -> DataFrame:
     """Add ``out``, the number of tokens of ``text``, to the columns ``keep`` (all)."""
     python_ready(df.sparkSession)
-    stay = [c for c in (df.columns if keep is None else keep) if c != out]
+    stay = [c for c in (df.columns if keep is None else keep) if c.lower() != out.lower()]
     fields = [*[df.schema[c] for c in stay], T.StructField(out, T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
