@@ -3,13 +3,12 @@
 Each line is hashed.  A rolling hash over two neighbouring line hashes (a rotation and an exclusive or)
 chooses the boundaries: a chunk begins after a line whose rolling hash is a local minimum, so a boundary
 depends on four lines around it and on nothing farther away, and an inserted or removed line moves no
-boundary beyond its neighbourhood.  Chunks therefore have two lines or more, but for a long line
-(``long_chars`` code points or more), which is a chunk alone wherever it stands.
+boundary beyond its neighbourhood.  Chunks therefore have two lines or more, but for a text of one line.
 
-Of the chunks, those of two lines or more with ``least_chars`` code points, and long lines, are compared.
+One rule says what is compared: a chunk in which two lines or more have words, however short or long they are.
 
 A boundary depends on the text around it, so a short passage between changing lines may be in no chunk that
-recurs.  With ``least_words`` (0: chunks alone) the shortest runs of neighbouring lines that reach so many words
+recurs.  With ``least_words`` (50; 0: chunks alone) the shortest runs of neighbouring lines that reach so many words
 are compared too, one from each line onwards and one from each line back.  They cover a repeated passage of
 whole lines: if it has ``least_words`` words, each of its lines is in such a run that lies inside it, so it is
 found from its first line to its last, whatever stands around it.
@@ -23,7 +22,8 @@ one hash are told apart and treated each for itself.
 Cases: a null text stays null; an empty one stays empty; a document that only had repeats becomes empty, and
 ``n_removed`` says how many lines it lost; rows alike in key and text are one document: they lose the same
 lines, and none because of each other; a null key sorts last; an empty table gives an empty table; texts are
-read whole; other columns pass through.
+read whole, in time that is linear in their lines; other columns pass through whatever their names, but for one named
+like ``out`` (``n_removed``), which is replaced.
 """
 
 from __future__ import annotations
@@ -33,10 +33,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bit_map, parted, row_hash, settled
+from .common import WORD, bit_map, columns_of, parted, row_hash, settled
 
-LONG_CHARS = 240
-LEAST_CHARS = 100
 LEAST_WORDS = 50
 _TURN = 21
 #: Lines that a run is looked for in before as many as it may take.
@@ -48,11 +46,11 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _cut(text: Column, long_chars: int, body: Callable[[Column, Column, Column], Column]) -> Column:
-    """``body`` of the text's lines, their marks (``h``, ``long``) and the numbers of the lines that begin chunks."""
+def _cut(text: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """``body`` of the text's lines, their marks (``h``, ``words``) and the numbers of the lines that begin chunks."""
 
     def from_lines(lines: Column) -> Column:
-        each = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) >= long_chars).alias("long")))
+        each = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), x.rlike(WORD).alias("words")))
         return _bound(each, lambda marks: from_marks(lines, marks))
 
     def from_marks(lines: Column, marks: Column) -> Column:
@@ -65,7 +63,7 @@ def _cut(text: Column, long_chars: int, body: Callable[[Column, Column, Column],
     def from_rolled(lines: Column, marks: Column, r: Column) -> Column:
         def begins(i: Column) -> Column:
             least = (F.get(r, i - 1) < F.get(r, i - 2)) & (F.get(r, i - 1) <= F.get(r, i))
-            return (i == 0) | F.get(marks, i)["long"] | F.get(marks, i - 1)["long"] | F.coalesce(least, F.lit(False))
+            return (i == 0) | F.coalesce(least, F.lit(False))
 
         starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), begins)
         return _bound(starts, lambda s: body(lines, marks, s))
@@ -73,7 +71,7 @@ def _cut(text: Column, long_chars: int, body: Callable[[Column, Column, Column],
     return _bound(F.split(text, "\n"), from_lines)
 
 
-def chunks(text: Column, long_chars: int = LONG_CHARS) -> Column:
+def chunks(text: Column) -> Column:
     """An array of the text's chunks: ``h`` (hash), ``n`` (lines), ``chunk`` (text).  Their texts, joined by line feeds, are the text."""
 
     def from_starts(lines: Column, marks: Column, s: Column) -> Column:
@@ -83,7 +81,7 @@ def chunks(text: Column, long_chars: int = LONG_CHARS) -> Column:
 
         return F.transform(s, one)
 
-    return _cut(text, long_chars, from_starts)
+    return _cut(text, from_starts)
 
 
 def _place(at: Column, n: Column) -> Column:
@@ -139,14 +137,14 @@ def runs(lines: Column, least_words: int = LEAST_WORDS) -> Column:
     return _bound(F.transform(lines, lambda x: F.least(F.regexp_count(x, F.lit(WORD)), F.lit(least_words)).cast("long")), from_counts)
 
 
-def pieces(text: Column, long_chars: int = LONG_CHARS, least_chars: int = LEAST_CHARS, least_words: int = 0) -> Column:
+def pieces(text: Column, least_words: int = LEAST_WORDS) -> Column:
     """An array of the compared pieces of a text: ``h`` (hash of their lines' hashes) and ``place``."""
 
     def from_starts(lines: Column, marks: Column, s: Column) -> Column:
         def compared(at: Column, k: Column) -> Column:
             n = F.coalesce(F.get(s, k + 1), F.size(lines)) - at
-            size = F.length(F.array_join(F.slice(lines, at + 1, n), "\n"))
-            return F.when((size >= long_chars) | ((n > 1) & (size >= least_chars)), _place(at, n))
+            worded = F.filter(F.slice(marks, at + 1, n), lambda m: m["words"])
+            return F.when(F.size(worded) > 1, _place(at, n))
 
         places = F.array_compact(F.transform(s, compared))
         if least_words:
@@ -154,13 +152,13 @@ def pieces(text: Column, long_chars: int = LONG_CHARS, least_chars: int = LEAST_
         hashes = F.transform(marks, lambda m: m["h"])
         return _bound(hashes, lambda h: F.transform(places, lambda p: F.struct(F.xxhash64(F.slice(h, _at(p) + 1, _n(p))).alias("h"), p.alias("place"))))
 
-    return _cut(text, long_chars, from_starts)
+    return _cut(text, from_starts)
 
 
-def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", long_chars: int = LONG_CHARS, least_chars: int = LEAST_CHARS, least_words: int = 0) -> DataFrame:
+def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """The lines to take out: ``_key``, ``_row`` (hash of key and text), ``places`` (of runs of lines, which may overlap)."""
     docs = df.select(F.col(key).alias("_key"), row_hash(key, text).alias("_row"), F.col(text).alias("_text")).filter(F.col("_text") != "")
-    narrow = docs.select("_key", "_row", F.explode(pieces(F.col("_text"), long_chars, least_chars, least_words)).alias("x"))
+    narrow = docs.select("_key", "_row", F.explode(pieces(F.col("_text"), least_words)).alias("x"))
     # rows alike are one document
     all_pieces = settled(narrow.select("_key", "_row", "x.h", "x.place"), "pieces")
     order = F.struct(F.col("_key").isNull().alias("none"), F.col("_key"), F.col("_row"), F.col("place"))
@@ -191,12 +189,12 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", long_chars:
     return equal.groupBy("_key", "_row").agg(F.collect_set("place").alias("places"))
 
 
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", long_chars: int = LONG_CHARS, least_chars: int = LEAST_CHARS, least_words: int = 0) -> DataFrame:
-    """``df`` with repeated chunks, and repeated runs of ``least_words`` words, taken out of ``text``, and ``n_removed``, the number of lines taken out."""
-    out = settled(repeats(df, key, text, long_chars, least_chars, least_words).withColumnRenamed("_key", "_k").withColumnRenamed("_row", "_r"), "repeats")
-    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(key).alias("_key"), row_hash(key, text).alias("_row"))
-    maybe, untouched = parted(rows, "_row", bit_map(out.select("_r"), "_r"))
-    joined = maybe.join(out.hint("merge"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")), "left")
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, out: str = "n_removed") -> DataFrame:
+    """``df`` with repeated chunks, and repeated runs of ``least_words`` words, taken out of ``text``, and ``out``, the number of lines taken out."""
+    found = settled(repeats(df, key, text, least_words).withColumnRenamed("_key", "_k").withColumnRenamed("_row", "_r"), "repeats")
+    rows = df.select(F.struct(*columns_of(df)).alias("row"), F.col(key).alias("_key"), row_hash(key, text).alias("_row"))
+    maybe, untouched = parted(rows, "_row", bit_map(found.select("_r"), "_r"))
+    joined = maybe.join(found.hint("merge"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")), "left")
     gone = F.flatten(F.transform("places", lambda p: F.sequence(_at(p), _at(p) + _n(p) - 1)))
 
     def stay(lines: Column) -> Column:
@@ -204,7 +202,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", long_chars: in
         return _bound(kept, lambda k: F.struct(F.array_join(F.transform(k, lambda i: F.get(lines, i)), "\n").alias("text"), (F.size(lines) - F.size(k)).cast("long").alias("n")))
 
     with_cut = joined.withColumn("cut", F.when(F.col("places").isNotNull(), _bound(F.split(F.col("row")[text], "\n"), stay)))
-    names = [c for c in df.columns if c != "n_removed"]
+    names = [c for c in df.columns if c.lower() != out.lower()]
     columns = [F.coalesce(F.col("cut")["text"], F.col("row")[c]).alias(c) if c == text else F.col("row")[c].alias(c) for c in names]
-    done = with_cut.select(*columns, F.coalesce(F.col("cut")["n"], F.lit(0).cast("long")).alias("n_removed"))
-    return done.unionByName(untouched.select(*[F.col("row")[c].alias(c) for c in names], F.lit(0).cast("long").alias("n_removed")))
+    done = with_cut.select(*columns, F.coalesce(F.col("cut")["n"], F.lit(0).cast("long")).alias(out))
+    return done.unionByName(untouched.select(*[F.col("row")[c].alias(c) for c in names], F.lit(0).cast("long").alias(out)))

@@ -3,6 +3,8 @@
 import re
 from collections import Counter, defaultdict
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
@@ -63,17 +65,45 @@ def targets(sizes, weights=(5, 2, 1), repeats=3):
     return out
 
 
-def repeated_chunks_gone(rows, chunks):
-    """Texts without compared chunks that stand earlier, for (key, text) in the order of keys; ``chunks``: of a text."""
-    seen, out = set(), {}
-    for k, t in rows:
-        kept = []
-        for lines, compared in chunks(t):
-            body = "\n".join(lines)
-            if compared and (len(lines), body) in seen:
-                continue
-            if compared:
-                seen.add((len(lines), body))
-            kept.append(body)
-        out[k] = "\n".join(kept)
+def line_chunks(text):
+    """(first line, lines) of content-defined chunks: one begins after a line whose hash, mixed with that of the line
+    before, is less than that of the line before and at most that of the line after."""
+    lines = text.split("\n")
+    h = [xxhash.xxh64_intdigest(x.encode(), seed=42) for x in lines]
+    turned = [0, *[(x << 21 | x >> 43) & (1 << 64) - 1 for x in h]]
+    r = [a ^ b for a, b in zip(h, turned, strict=False)]
+    r = [x - (1 << 64) if x >> 63 else x for x in r]
+    starts = [0, *[i for i in range(1, len(lines)) if i >= 2 and r[i - 1] < r[i - 2] and r[i - 1] <= r[i]]]
+    return [(a, b - a) for a, b in zip(starts, [*starts[1:], len(lines)], strict=True)]
+
+
+def line_runs(lines, least):
+    """(first line, lines) of the shortest runs with ``least`` words, onwards and back from each line that has words."""
+    counts, out = [len(words(x)) for x in lines], set()
+    for k in range(len(lines)):
+        for step in (1, -1):
+            total, j = counts[k], k
+            while total < least and 0 <= j + step < len(lines):
+                j += step
+                total += counts[j]
+            if counts[k] and total >= least:
+                out.add((min(j, k), abs(j - k) + 1))
+    return out
+
+
+def lines_gone(rows, least=50):
+    """The numbers of the lines that go, for each (key, text) in the order of keys: those in a chunk with two worded lines,
+    or in a run of ``least`` words, that stands earlier."""
+    first, out = {}, {}
+    for key, text in rows:
+        lines, out[key] = text.split("\n"), set()
+        found = {(a, n) for a, n in line_chunks(text) if sum(bool(words(x)) for x in lines[a : a + n]) > 1}
+        for at, n in sorted(found | (line_runs(lines, least) if least else set())):
+            seen, start = first.setdefault("\n".join(lines[at : at + n]), (key, at))
+            if (seen, start) != (key, at):
+                out[key] |= set(range(max(at, start + n) if seen == key else at, at + n))
     return out
+
+
+def without(rows, gone):
+    return {k: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k]) for k, t in rows}

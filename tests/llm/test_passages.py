@@ -1,6 +1,8 @@
 import random
+import time
 
 import corpus_pipeline
+import pytest
 from pathweave.llm import line_dedup
 
 from . import brute
@@ -8,32 +10,6 @@ from . import brute
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def spans(lines, least):
-    """(first line, lines) of the shortest runs with ``least`` words, onwards and back from each line that has words."""
-    counts, out = [len(brute.words(x)) for x in lines], set()
-    for k in range(len(lines)):
-        for step in (1, -1):
-            total, j = counts[k], k
-            while total < least and 0 <= j + step < len(lines):
-                j += step
-                total += counts[j]
-            if counts[k] and total >= least:
-                out.add((min(j, k), abs(j - k) + 1))
-    return sorted(out)
-
-
-def gone(rows, least):
-    """Numbers of the lines in runs that stand earlier, for each (key, text) in the order of keys."""
-    first, out = {}, {}
-    for key, text in rows:
-        lines, out[key] = text.split("\n"), set()
-        for at, n in spans(lines, least):
-            seen, start = first.setdefault("\n".join(lines[at : at + n]), (key, at))
-            if (seen, start) != (key, at):
-                out[key] |= set(range(max(at, start + n) if seen == key else at, at + n))
-    return out
-
-
 def words(rng, n):
     return ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 4))) for _ in range(n)]
 
@@ -46,7 +22,6 @@ def test_short_passages_between_short_lines(spark):
     """Passages of 1 to 8 lines and 50 to 60 words, every line under 240 code points, go whatever stands around them."""
     rng = random.Random(5)
     passages = [some_lines(rng, c) for c in ([50], [30, 30], [20] * 3, [15] * 4, [12] * 5, [10] * 6, [7] * 8, [49, 1], [1, 49, 1], [5, 0, 45, 3], [3] * 17)]
-    assert all(len(x) < line_dedup.LONG_CHARS for p in passages for x in p)
     foreign = lambda: some_lines(rng, [rng.randint(1, 8) for _ in range(rng.randint(1, 5))])
     rows = [(i * 100 + j, "\n".join([*foreign(), *p, *foreign()])) for i, p in enumerate(passages) for j in range(12)]
     near = some_lines(rng, [24, 25])  # 49 words are no passage
@@ -62,19 +37,37 @@ def test_short_passages_between_short_lines(spark):
     assert [again[300 + j]["n_removed"] for j in range(12)] == [0] + [4] * 11
 
 
-def test_runs_against_brute_force(spark):
-    """With no chunk long enough to be compared, the lines that go are those of the slow version."""
+@pytest.mark.parametrize("least", [0, 12])
+def test_lines_against_brute_force(spark, least):
+    """The lines that go are those of the slow version, which has boundaries of its own."""
     rng = random.Random(7)
     pool = some_lines(rng, [rng.randint(0, 9) for _ in range(14)])
     rows = [(k, "\n".join(rng.choices(pool, k=rng.randint(1, 40)))) for k in range(60)] + [(90, "\n".join(["one line here"] * 30)), (91, "")]
     df = spark.createDataFrame([(k, t, None, None, 0) for k, t in rows], DOCS)
-    got = {r["doc_id"]: r for r in line_dedup.dedup(df, long_chars=10**6, least_chars=10**6, least_words=12).collect()}
-    expected = gone(rows, 12)
-    assert any(expected.values())
-    for k, t in rows:
-        assert got[k]["text"] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in expected[k])
-        assert got[k]["n_removed"] == len(expected[k])
-    assert got[90]["text"].count("\n") == 3  # of a line over and over, the first run stays
+    got = {r["doc_id"]: r for r in line_dedup.dedup(df, least_words=least).collect()}
+    gone = brute.lines_gone(rows, least)
+    assert any(gone.values())
+    assert {k: r["text"] for k, r in got.items()} == brute.without(rows, gone)
+    assert {k: r["n_removed"] for k, r in got.items()} == {k: len(v) for k, v in gone.items()}
+
+
+def test_menus_of_short_lines(spark):
+    menu = "Home\nNews\nSport\nMore"
+    rng = random.Random(3)
+    rows = [(k, "\n".join([*some_lines(rng, [9] * 4), *([menu] * 3), *some_lines(rng, [9] * 4)]), None, None, 0) for k in range(8)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[k].count("Sport") < 3 for k in range(1, 8))
+
+
+def test_many_lines_take_linear_time(spark):
+    def seconds(n):
+        rows = [(k, "\n".join(f"line {i % (n // 2)} of it" for i in range(n)), None, None, 0) for k in range(2)]
+        df, began = spark.createDataFrame(rows, DOCS), time.perf_counter()
+        assert line_dedup.dedup(df).filter("n_removed > 0").count() == 2
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(32_000) < 8 * seconds(8000)
 
 
 def test_runs_with_equal_hashes(spark, monkeypatch):
@@ -83,5 +76,5 @@ def test_runs_with_equal_hashes(spark, monkeypatch):
     rng = random.Random(9)
     texts = ["\n".join(some_lines(rng, [15] * 4)) for _ in range(4)]
     rows = [(i, texts[i % 4] + f"\nend {i}", None, None, 0) for i in range(12)]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, DOCS), long_chars=10**6, least_chars=10**6, least_words=50).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, DOCS), least_words=50).collect()}
     assert got == {i: t if i < 4 else f"end {i}" for i, t, *_ in rows}

@@ -6,7 +6,7 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from pathweave.llm import byte_bpe, line_dedup  # noqa: E402
+from pathweave.llm import byte_bpe  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from . import brute  # noqa: E402
@@ -41,15 +41,12 @@ def test_stages(spark, tmp_path):
 
     before, after = steps["lines"]
     rows = sorted((r["doc_id"], r["text"]) for r in before)
-    found = spark.createDataFrame(rows, "k long, t string").select("k", line_dedup.chunks(F.col("t")).alias("c")).collect()
-    cut = {r["k"]: [(c["chunk"].split("\n"), len(c["chunk"]) >= line_dedup.LONG_CHARS or c["n"] > 1 and len(c["chunk"]) >= line_dedup.LEAST_CHARS) for c in r["c"]] for r in found}
-    by_text = {t: cut[k] for k, t in rows}
-    expected = {k: t for k, t in brute.repeated_chunks_gone(rows, by_text.__getitem__).items() if t}
+    expected = {k: t for k, t in brute.without(rows, brute.lines_gone(rows)).items() if brute.words(t)}
     assert {r["doc_id"]: r["text"] for r in after} == expected
     assert all(r["n_chars"] == len(r["text"]) for r in after)
 
     before, after = steps["near_duplicates"]
-    groups = brute.near_duplicates([(r["doc_id"], r["text"]) for r in before])
+    groups = brute.near_duplicates([(r["doc_id"], r["text"]) for r in before], corpus_pipeline.PERCENT)
     assert sorted(r["doc_id"] for r in after) == sorted({c for _, c in groups.values()})
 
     before, after = steps["mix"]
@@ -83,3 +80,17 @@ def test_odd_tables(spark, tmp_path):
     assert {r["doc_id"] for r in steps[2][2].collect()} == {3, 4}
     steps = staged(spark, spark.createDataFrame([], DOCS), tmp_path / "none")
     assert [after.count() for _, _, after in steps] == [0] * 5
+
+
+def test_clashing_columns(spark, tmp_path):
+    """Columns named like what the stages work with come back as they were."""
+    names = ["score", "lang_pred", "n_removed", "known", "u", "_u", "_bits", "_word", "row", "rid", "key", "s", "size", "u.v", "label"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").drop("n_chars")
+    odd = docs
+    for n in names:
+        odd = odd.withColumn(n, F.lit(f"mine {n}"))
+    plain = {name: sorted((r["doc_id"], r["text"]) for r in after.collect()) for name, _, after in staged(spark, docs, tmp_path / "plain")[:4]}
+    for name, _, after in staged(spark, odd, tmp_path / "odd")[:4]:
+        rows = after.collect()
+        assert sorted((r["doc_id"], r["text"]) for r in rows) == plain[name]
+        assert after.columns == odd.columns and all(r[n] == f"mine {n}" for r in rows[:20] for n in names)

@@ -142,37 +142,36 @@ def test_shard_cases(special):
     assert sharding.shard_documents(special.limit(0)).collect() == []
 
 
-def slow_chunks(spark, text):
+def chunks_of(spark, text):
     row = spark.createDataFrame([(text,)], "t string").select(line_dedup.chunks(F.col("t")).alias("c")).first()["c"]
-    return [(c["chunk"].split("\n"), len(c["chunk"]) >= line_dedup.LONG_CHARS or c["n"] > 1 and len(c["chunk"]) >= line_dedup.LEAST_CHARS) for c in row]
+    return [c["chunk"].split("\n") for c in row]
 
 
-def test_chunks_make_up_the_text(spark, docs):
+def test_chunks_are_those_of_the_slow_version(spark, docs):
     for t in [d["text"] for d in docs[:40]] + ["", "\n", "a\n\nb", "a\n" * 50]:
-        assert "\n".join(x for lines, _ in slow_chunks(spark, t) for x in lines) == t
+        lines = t.split("\n")
+        assert chunks_of(spark, t) == [lines[a : a + n] for a, n in brute.line_chunks(t)]
 
 
 def test_boundaries_resist_shifts(spark):
     rng = random.Random(3)
     lines = ["".join(rng.choices("abcdefgh ", k=60)) for _ in range(200)]
-    whole = {"\n".join(c) for c, _ in slow_chunks(spark, "\n".join(lines))}
-    moved = {"\n".join(c) for c, _ in slow_chunks(spark, "\n".join(["new first", *lines[:100], "new middle", *lines[100:]]))}
+    whole = {"\n".join(c) for c in chunks_of(spark, "\n".join(lines))}
+    moved = {"\n".join(c) for c in chunks_of(spark, "\n".join(["new first", *lines[:100], "new middle", *lines[100:]]))}
     assert len(whole - moved) <= 4
-    assert all(len(c) > 1 for c, _ in slow_chunks(spark, "\n".join(lines))[1:])
+    assert all(len(c) > 1 for c in chunks_of(spark, "\n".join(lines))[1:])
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("least", [0, line_dedup.LEAST_WORDS])
+def test_line_dedup_against_brute_force(spark, least):
     sf = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 400")
     texts = sorted((r["doc_id"], r["text"]) for r in rows.collect())
-    found = {r["_key"]: r["c"] for r in rows.select(F.col("doc_id").alias("_key"), line_dedup.chunks(F.col("text")).alias("c")).collect()}
-    cut = {k: [(c["chunk"].split("\n"), len(c["chunk"]) >= line_dedup.LONG_CHARS or c["n"] > 1 and len(c["chunk"]) >= line_dedup.LEAST_CHARS) for c in v] for k, v in found.items()}
-    by_text = {t: cut[k] for k, t in texts}
-    expected = brute.repeated_chunks_gone(texts, by_text.__getitem__)
-    got = {r["doc_id"]: r for r in line_dedup.dedup(rows).collect()}
-    assert {k: r["text"] for k, r in got.items()} == expected
+    gone = brute.lines_gone(texts, least)
+    got = {r["doc_id"]: r for r in line_dedup.dedup(rows, least_words=least).collect()}
+    assert {k: r["text"] for k, r in got.items()} == brute.without(texts, gone)
+    assert {k: r["n_removed"] for k, r in got.items()} == {k: len(v) for k, v in gone.items()}
     assert sum(r["n_removed"] for r in got.values()) > 0
-    assert all(got[k]["n_removed"] == (t.count("\n") + 1 if not expected[k] and t else t.count("\n") - expected[k].count("\n")) for k, t in texts)
 
 
 def passage(seed, words=60, lines=1):
@@ -207,8 +206,8 @@ def test_line_dedup_cases(special):
     assert [r["text"] for r in got if r["doc_id"] == 0] == [None]
     assert sum(r["n_removed"] for r in got) == 0
     assert line_dedup.dedup(special.limit(0)).collect() == []
-    long = special.sparkSession.createDataFrame([(None, "z" * 300, None, None, 0), (9, "z" * 300, None, None, 0), (9, "z" * 300, None, None, 0)], DOCS)
-    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in line_dedup.dedup(long).collect()) == [(0, 1), (9, 0), (9, 0)]
+    long = special.sparkSession.createDataFrame([(None, "y z\n" + "z" * 300, None, None, 0), (9, "y z\n" + "z" * 300, None, None, 0), (9, "y z\n" + "z" * 300, None, None, 0)], DOCS)
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in line_dedup.dedup(long).collect()) == [(0, 2), (9, 0), (9, 0)]
 
 
 def test_quality_counts(spark, docs, special):
