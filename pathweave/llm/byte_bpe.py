@@ -4,11 +4,11 @@ The rank file (base64 token, rank) becomes a sentencepiece ``ModelProto``: every
 printable code points, one for one, and the piece's score is its negative rank, so that sentencepiece's
 "best score first, leftmost first" merges are the "lowest rank first" merges of the rank file.  The
 normaliser is the identity and adds, drops and escapes nothing.  A text is cut by the pattern into
-pre-tokens; each is looked up whole and otherwise encoded by the model.  Decoding maps ids back to the
-tokens' bytes and joins them.  No vocabulary is trained or copied: the path is a parameter.
+pre-tokens; each is looked up whole and otherwise encoded by the model.  Decoding takes the model's pieces of the
+ids and maps their code points back to bytes.  No vocabulary is trained or copied: the path is a parameter.
 
 Cases: a null text is an empty one and has no ids; a text of any length is taken whole; equal texts have
-equal ids; an empty table gives an empty table; other columns pass through, and a column that the
+equal ids, ties and repeated rows too; an empty table gives an empty table; other columns pass through, and a column that the
 operator adds replaces one of the same name.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import python_ready
 
 #: Pre-tokens that a worker remembers; beyond, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -88,7 +88,8 @@ class ByteBpe:
         self.by_rank = sorted(ranks.values())
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(ranks))
         self.shown = byte_map()
-        self.tokens = {rank: token for token, rank in ranks.items()}
+        back = {c: b for b, c in enumerate(self.shown)}
+        self.tokens = {rank: bytes([back[c] for c in self.model.id_to_piece(i + 1)]) for i, rank in enumerate(self.by_rank)}
         self.known: dict[str, bytes] = {}
 
     def _pack(self, part: str) -> bytes:
@@ -125,7 +126,7 @@ def _extended(df: DataFrame, added: list[tuple[str, T.DataType]], work, keep: li
     """Arrow batches of ``df`` through ``work(batch) -> list of arrays``; the columns ``keep`` (all) stay."""
     python_ready(df.sparkSession)
     names = [n for n, _ in added]
-    stay = [c for c in (df.columns if keep is None else keep) if c not in names]
+    stay = [c for c in (df.columns if keep is None else keep) if c.lower() not in {n.lower() for n in names}]
     fields = [*[df.schema[c] for c in stay], *[T.StructField(n, t) for n, t in added]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,16 +19,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 MAP_BITS = 26
 
 
-def python_ready(spark: SparkSession, rows: int = 500, size: str = "16m") -> None:
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
+
+
+def python_ready(spark: SparkSession) -> None:
     """What every operator with Python workers asks of a session.
 
-    An Arrow batch holds at most ``rows`` rows and about ``size`` bytes, so that long texts fit a worker's memory,
-    and the workers get this package from the driver if their own path lacks it."""
+    An Arrow batch has about ``BATCH_BYTES`` bytes, however many rows those are, so that long texts fit a worker's memory:
+    a session with a larger bound, or none, gets this one; nothing else of it is changed.  The workers get this package
+    from the driver if their own path lacks it."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def columns_of(df: DataFrame, *without: str) -> list[Column]:

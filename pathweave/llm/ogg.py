@@ -14,7 +14,8 @@ a positive multiple of 64, as unsigned 8-bit samples; stream 2 names the length
 ``features`` reads stored containers and never sees the text.
 
 Cases: a null text is an empty one (64 zero samples); a text of any length is stored whole; equal texts have
-equal containers; a damaged, truncated or null container gives nulls and a message in ``error``.
+equal containers, repeated rows too; a damaged, truncated or null container gives nulls and a message in ``error``; an empty
+table gives an empty table; other columns pass, but for those named like what is added, which are replaced.
 """
 
 from __future__ import annotations
@@ -181,7 +182,7 @@ def read(media: bytes) -> tuple[bytes, int, dict[int, Stream]]:
 def encode(df: DataFrame, text: str = "text", out: str = "media", keep: list[str] | None = None) -> DataFrame:
     """Add the binary column ``out`` with each text's container to the columns ``keep`` (all)."""
     python_ready(df.sparkSession)
-    stay = [c for c in (df.columns if keep is None else keep) if c != out]
+    stay = [c for c in (df.columns if keep is None else keep) if c.lower() != out.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,7 +213,7 @@ def features(df: DataFrame, media: str = "media", keep: list[str] | None = None)
     """Demultiplex the containers in ``media`` and describe what they hold; ``keep``: other columns that stay (all)."""
     python_ready(df.sparkSession)
     names = [n for n, _, _ in _ADDED]
-    stay = [c for c in (df.columns if keep is None else keep) if c not in names and c != media]
+    stay = [c for c in (df.columns if keep is None else keep) if c.lower() not in {*names, media.lower()}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

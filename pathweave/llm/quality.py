@@ -12,7 +12,8 @@ agree are compared word by word; a window beside another one of the same hash is
 
 Cases: a null or empty text has no words and fails; a null host is no host, and such documents are judged by
 the base rules alone; repeated rows are counted each; an empty table gives an empty table; texts are read
-whole.
+whole, however long; a rate of just ``max_rate`` is no ground to drop; other columns are neither used nor returned by
+``judge``, so that none can clash.
 """
 
 from __future__ import annotations

@@ -17,8 +17,9 @@ equal are the law.
 begin where those before them end, and only the rows of a bucket are sorted.
 
 Cases: a null text has no bytes and weighs 1, like an empty one, and is in its group; a null key is a value of
-its own; rows alike in key and text share all but the slot; an empty table gives an empty table.  Every task
-handles parts of nodes only.
+its own; rows alike in key and text share all but the slot; ties in every dimension are broken by the group's hash; long
+texts count by their bytes; an empty table gives an empty table; other columns are neither used nor returned, so that none
+can clash.  Every task handles parts of nodes only.
 """
 
 from __future__ import annotations
@@ -158,10 +159,11 @@ def shard(df: DataFrame, dims: list[Column], weight: Column, group: Column, key:
 
 
 def shard_documents(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8) -> DataFrame:
-    """Shards of nearly equal bytes: ``key``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard`` (null)."""
+    """Shards of nearly equal bytes, by size, bytes for each character and bytes for each line: ``key``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard`` (null)."""
     whole = F.coalesce(F.col(text), F.lit(""))
     size = F.octet_length(whole).cast("long") + 1
     crc = F.crc32(whole)
-    dims = [F.log2(size), size / (F.length(whole) + 1), crc]
+    n_lines = size - F.octet_length(F.replace(whole, F.lit("\n"), F.lit("")))
+    dims = [F.log2(size), size / (F.length(whole) + 1), F.log2(size / n_lines)]
     found = shard(df, dims, size, whole, key, text, shards=shards, extra={"size": size, "text_crc32": crc})
     return found.select(key, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

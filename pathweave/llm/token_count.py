@@ -34,7 +34,7 @@ from .common import python_ready
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 class Vocabulary:
