@@ -15,9 +15,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset, as in tests, a local folder is made and set."""
+    """``spark.checkpoint.dir`` of the session; only where it is unset and all runs on this machine, a local folder is made and set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pathweave-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -29,8 +31,18 @@ def file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``clear`` removes."""
+    path = f"{shared_dir(spark)}/pathweave-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return f"{path}/{name}"
+
+
 @atexit.register
-def _clear() -> None:
+def clear() -> None:
+    """Remove all tables that were settled so far: when the results that read them are written.
+
+    A session that goes on for long calls this between its queries; otherwise it happens when the interpreter ends."""
     while _made:
         spark, path = _made.pop()
         try:
@@ -45,10 +57,9 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     An executor that goes takes nothing of it along, and a later pass reads only the columns that it needs.
-    The tables go when the interpreter ends."""
+    The tables go with ``clear``."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pathweave-{uuid.uuid4().hex}/{name}"
-    _made.append((spark, path))
+    path = place(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
