@@ -10,20 +10,23 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathweave.functions.patterns import PatternError
-from pathweave.functions.paths import shell_quote
+from pathweave.functions.paths import ancestors, shell_quote
 from pathweave.operators import index as I
-from pathweave.operators.merge import merge_snapshot, usable
-from pathweave.operators.prune import PruneConfig, prune
+from pathweave.operators.crawl import crawl
+from pathweave.operators.merge import usable
+from pathweave.operators.ordering import ordered
+from pathweave.operators.prune import PruneConfig
 from pathweave.operators.search import Options, exit_status, search
+from pathweave.operators.visibility import existing, visible
 from pathweave.sources import config, files
-from pathweave.sources.listing import denied_dirs, listing
-from pathweave.tables import settled
+from pathweave.tables import settled, ship
 
 
 def _session() -> SparkSession:
@@ -74,17 +77,26 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _closed(spark: SparkSession, names: DataFrame) -> DataFrame:
-    """The directories of the names that this process may not list and enter: looked at on the driver, once each."""
-    from pathweave.functions.paths import ancestors
+def _where(rows: DataFrame, test: Callable[[str], bool]) -> DataFrame:
+    """The rows of one string column for which ``test`` holds, looked at where the rows are, once for each value."""
+    ship(rows.sparkSession)
+    (column,) = rows.columns
 
-    dirs = names.select(F.explode(ancestors(F.col("path"))).alias("dir")).distinct()
-    denied = [(r["dir"],) for r in dirs.toLocalIterator() if os.path.isdir(r["dir"]) and not os.access(r["dir"], os.R_OK | os.X_OK)]
-    return spark.createDataFrame([*denied, *([("/",)] if not os.access("/", os.R_OK | os.X_OK) else [])], "dir string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([test(x) for x in b.column(0).to_pylist()], pa.bool_()))
 
+    return rows.distinct().mapInArrow(run, f"{column} string")
 
-def _live(spark: SparkSession, names: DataFrame) -> DataFrame:
-    return spark.createDataFrame([(r["path"],) for r in names.select("path").distinct().toLocalIterator() if os.path.lexists(r["path"])], "path string")
+
+def _closed(names: DataFrame) -> DataFrame:
+    """The directories of the names that this account may not list and enter."""
+    dirs = names.select(F.explode(F.array_union(ancestors(F.col("path")), F.array(F.lit("/")))).alias("dir"))
+    return _where(dirs, lambda x: os.path.isdir(x) and not os.access(x, os.R_OK | os.X_OK))
+
+
+def _live(names: DataFrame) -> DataFrame:
+    return _where(names.select("path"), os.path.lexists)
 
 
 def run_search(spark: SparkSession, a: argparse.Namespace, out=None) -> int:
@@ -93,11 +105,14 @@ def run_search(spark: SparkSession, a: argparse.Namespace, out=None) -> int:
     indexes = [I.read(spark, p) for p in paths]
     o = {"regex": a.regex, "ignore_case": a.ignore_case, "basename": a.basename, "ignore_visibility": a.ignore_visibility}
     found = settled(search(indexes, a.patterns, Options(**o)), "matches")  # text matches first; files are looked at after
-    denied = None if a.ignore_visibility or not any(x.check_visibility for x in indexes) else _closed(spark, found)
-    live = _live(spark, found) if a.existing else None
-    full = search(indexes, a.patterns, Options(**o, limit=a.limit, count=a.count, denied=denied, live=live))
+    guarded = [] if a.ignore_visibility else [i for i, x in enumerate(indexes) if x.check_visibility]
+    if guarded:
+        checked = F.col("db_ordinal").isin(guarded)
+        seen = found.filter(checked)
+        found = visible(seen, settled(_closed(seen), "closed")).unionByName(found.filter(~checked))
+    full = ordered(existing(found, settled(_live(found), "live")) if a.existing else found, a.limit)
     if a.count:
-        n = full.first()["n"]
+        n = full.count()
         print(n, file=out)
         return int(n == 0)
     if out.isatty() and not a.literal and not a.null:
@@ -122,33 +137,27 @@ def _settings(a: argparse.Namespace) -> PruneConfig:
 def run_update(spark: SparkSession, a: argparse.Namespace) -> int:
     c = _settings(a)
     root = config.canonical(a.database_root)
-    entries = settled(listing(spark, root, [*c.paths], [*c.names]), "listing")
     mounts = None
     if (c.fs or c.bind_mounts) and os.path.exists(a.mounts):
         with open(a.mounts, encoding="utf-8") as f:
             mounts = files.mount_info(spark.createDataFrame([(x.rstrip("\n"),) for x in f], "value string"))
-    kept = prune(entries, c, mounts)
-    if a.debug_pruning:
-        print(c.block(), file=sys.stderr)
-        for r in entries.join(kept.select("path"), "path", "left_anti").toLocalIterator():
-            print(f"left out {r['path']}", file=sys.stderr)
-    rows = kept.select("path", "parent", "name", "is_dir", "sec", "nsec")
     try:
         before = I.read(spark, a.output)
     except FileNotFoundError:
         before = None
-    if before is not None and usable(before.metadata, c, I.VERSION) and "sec" in before.names.columns:
-        dirs = kept.filter("is_dir").selectExpr("path as dir", "sec", "nsec")
-        top = spark.createDataFrame([(root, 0, 0)], "dir string, sec long, nsec int")
-        times = before.names.filter("is_dir").selectExpr("path as dir", "sec", "nsec")
-        merged = merge_snapshot(before.names, dirs.unionByName(top), times, kept)
-        rows = merged.join(rows.select("path", "sec", "nsec"), "path").select("path", "parent", "name", "is_dir", "sec", "nsec")
-    built = I.build(settled(rows, "names"), a.block_size, config.parse_flag(a.require_visibility), c.block())
+    reused = before is not None and usable(before.metadata, c, I.VERSION) and "sec" in before.names.columns
+    entries = crawl(spark, root, c, mounts, before.names if reused else None)
+    if a.debug_pruning:
+        print(c.block(), file=sys.stderr)
+        for r in entries.filter("state = 'pruned'").select("path").toLocalIterator():
+            print(f"not entered: {r['path']}", file=sys.stderr)
+    rows = entries.filter("path <> '/'").select("path", "parent", "name", "is_dir", "sec", "nsec")
+    built = I.build(rows, a.block_size, config.parse_flag(a.require_visibility), c.block())
     if a.verbose:
         for r in built.names.orderBy("seq").toLocalIterator():
             print(r["path"])
     I.write(built, config.canonical(a.output))
-    closed = denied_dirs(entries).count()
+    closed = entries.filter("state = 'closed'").count()
     if closed:
         print(f"{closed} directories could not be read", file=sys.stderr)
     return 0

@@ -122,10 +122,15 @@ def unescape(pattern: str) -> str:
 
 
 def glob_regex(tokens: list[Token], ignore_case: bool = False) -> str:
-    """The regular expression of a glob.  ``*`` and ``?`` match any character, a slash too; a bracket that never ends is literal."""
+    """The regular expression of a glob.  ``*`` and ``?`` match any character, a slash too; a bracket that never ends is literal.
+
+    Stars at the ends anchor nothing, so what is between them is looked for anywhere."""
     parts = {"any": lambda t: ".", "star": lambda t: ".*", "lit": lambda t: _quoted(t.text), "set": lambda t: t.text, "end": lambda t: "".join(map(_quoted, t.text))}
-    body = "".join(parts[t.kind](t) for t in tokens)
-    return f"(?s{'iu' if ignore_case else ''})\\A{body}\\z"
+    first = next((i for i, t in enumerate(tokens) if t.kind != "star"), len(tokens))
+    last = next((i for i in range(len(tokens), first, -1) if tokens[i - 1].kind != "star"), first)
+    body = "".join(parts[t.kind](t) for t in tokens[first:last])
+    begin, end = "" if first else r"\A", "" if last < len(tokens) else r"\z"
+    return f"(?s{'iu' if ignore_case else ''}){begin}{body}{end}"
 
 
 def runs(tokens: list[Token]) -> list[str]:

@@ -8,6 +8,7 @@ every name in a candidate block is verified.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -42,7 +43,9 @@ def build_trigrams(names: DataFrame, path: str = "path", docid: str = "docid") -
 
 
 def posting_lists(trigrams: DataFrame) -> DataFrame:
-    """``trgm``, ``num_docids``, ``docids`` (ascending, each once)."""
+    """``trgm``, ``num_docids``, ``docids`` (ascending, each once).
+
+    For display and for export: a row has all blocks of its trigram.  Searches read ``postings``, a row for each block."""
     lists = trigrams.groupBy("trgm").agg(F.array_sort(F.collect_list("docid")).alias("docids"))
     return lists.select("trgm", F.size("docids").cast("long").alias("num_docids"), "docids")
 
@@ -74,7 +77,8 @@ def build(names: DataFrame, block_size: int = 32, check_visibility: bool = True,
 def write(index: Index, path: str) -> str:
     """Write a new version of the index beside the old ones and switch to it in one rename; the version's name.
 
-    A run that breaks off leaves the current version as it was."""
+    A run that breaks off leaves the current version as it was.  The version before stays for those who still read it,
+    the one before that goes.  Names are in the order of their blocks, so that a few blocks are few pages."""
     spark = index.names.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     base = f"{path}/{version}"
@@ -83,8 +87,11 @@ def write(index: Index, path: str) -> str:
     postings = build_trigrams(names).repartitionByRange("trgm").sortWithinPartitions("trgm", "docid")
     postings.write.option("compression", "zstd").parquet(f"{base}/postings")
     posting_stats(spark.read.parquet(f"{base}/postings")).repartitionByRange("trgm").sortWithinPartitions("trgm").write.parquet(f"{base}/stats")
-    spark.createDataFrame([(json.dumps(index.metadata, sort_keys=True),)], "value string").coalesce(1).write.text(f"{base}/metadata")
+    sizes = names.agg(F.count("*"), F.coalesce(F.max("docid") + 1, F.lit(0)), F.coalesce(F.sum(F.octet_length("path")), F.lit(0))).first()
     fs, pointer = file_system(spark, f"{path}/{POINTER}")
+    before = spark.read.text(f"{path}/{POINTER}").first()[0] if fs.exists(pointer) else None
+    metadata = index.metadata | {"n_names": sizes[0], "n_blocks": sizes[1], "name_bytes": sizes[2], "before": before}
+    spark.createDataFrame([(json.dumps(metadata, sort_keys=True),)], "value string").coalesce(1).write.text(f"{base}/metadata")
     _, staged = file_system(spark, f"{path}/{POINTER}.{version}")
     out = fs.create(staged, True)
     out.write(bytearray(version.encode()))
@@ -94,6 +101,9 @@ def write(index: Index, path: str) -> str:
     modes = spark.sparkContext._gateway.new_array(Rename, 1)
     modes[0] = Rename.OVERWRITE
     context.rename(staged, pointer, modes)
+    oldest = json.loads(spark.read.text(f"{path}/{before}/metadata").first()[0]).get("before") if before else None
+    if oldest:
+        fs.delete(file_system(spark, f"{path}/{oldest}")[1], True)
     return version
 
 
@@ -110,6 +120,17 @@ def read(spark: SparkSession, path: str) -> Index:
     return Index(spark.read.parquet(f"{base}/names"), spark.read.parquet(f"{base}/postings"), spark.read.parquet(f"{base}/stats"), metadata)
 
 
+def codec_report(spark: SparkSession, path: str) -> dict[str, float]:
+    """What the storage format makes of the postings: their number, bytes, bytes for each posting and for each trigram,
+    and nanoseconds for each posting in a pass over all of them."""
+    postings = read(spark, path).postings
+    began = time.perf_counter()
+    n, trigrams = postings.agg(F.count("docid"), F.count_distinct("trgm")).first()
+    spent = time.perf_counter() - began
+    size = section_sizes(spark, path)["postings"]
+    return {"n_postings": n, "bytes": size, "bytes_per_posting": size / max(1, n), "bytes_per_trigram": size / max(1, trigrams), "ns_per_posting": spent * 1e9 / max(1, n)}
+
+
 def section_sizes(spark: SparkSession, path: str) -> dict[str, int]:
     """Bytes of each table of the current version."""
     fs, pointer = file_system(spark, path)

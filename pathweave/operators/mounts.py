@@ -17,14 +17,18 @@ def bind_mounts(mounts: DataFrame) -> DataFrame:
 
 
 def pruned_mounts(mounts: DataFrame) -> DataFrame:
-    """The mounts that are ``pruned`` or stand below one that is, through ``parent_id``; 0 is no parent."""
-    spark, view = mounts.sparkSession, "pathweave_mounts"
-    mounts.createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE gone(id) AS (
-            SELECT id FROM {view} WHERE pruned
+    """The mounts that are ``pruned`` or stand below one that is, through ``parent_id``; 0 is no parent.
+
+    A mount table whose parents go round in a circle ends there, too."""
+    return mounts.sparkSession.sql(
+        """
+        WITH RECURSIVE gone(id, seen) AS (
+            SELECT id, array(id) FROM {mounts} WHERE pruned
             UNION ALL
-            SELECT m.id FROM {view} m JOIN gone g ON m.parent_id = g.id WHERE m.parent_id <> 0 AND m.id <> m.parent_id AND NOT m.pruned
+            SELECT m.id, array_append(g.seen, m.id) FROM {mounts} m JOIN gone g ON m.parent_id = g.id
+            WHERE m.parent_id <> 0 AND NOT m.pruned AND NOT array_contains(g.seen, m.id)
         )
-        SELECT m.* FROM {view} m LEFT SEMI JOIN gone g ON m.id = g.id
-    """)  # noqa: S608
+        SELECT m.* FROM {mounts} m LEFT SEMI JOIN gone g ON m.id = g.id
+        """,
+        mounts=mounts,
+    )

@@ -18,6 +18,12 @@ from pathweave.plans.trigrams import Groups, cut, plan
 
 #: An index is not used where its best group leaves more than this share of all blocks.
 WORTHWHILE = 0.5
+#: A written index over fewer bytes of names is not used unless asked for: its jobs take longer than reading all names.
+INDEX_FROM = 256 << 20
+#: Up to so many candidate blocks are named to the scan of the names; beyond, they are joined.
+NAMED_BLOCKS = 1000
+#: Ranges of block numbers that the scan is given at most.
+RANGES = 64
 #: Denied directories and query trigrams beyond this number are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -77,8 +83,23 @@ def candidates(postings: DataFrame, groups: Groups) -> DataFrame:
     return hit.filter(F.col("n") == len(groups)).select("docid")
 
 
-def verify(names: DataFrame, blocks: DataFrame, needles: Sequence[Needle], base_only: bool = False) -> DataFrame:
-    """The names of the candidate blocks that do match."""
+def within(names: DataFrame, docids: Sequence[int]) -> DataFrame:
+    """The names of these blocks.  The scan gets ranges that cover them, parted at the widest gaps, so that it reads the
+    row groups and pages of the candidates only: the names are written in the order of their blocks."""
+    at = sorted(set(docids))
+    if not at:
+        return names.limit(0)
+    gaps = sorted(range(1, len(at)), key=lambda i: at[i - 1] - at[i])[: RANGES - 1]
+    edges = [0, *sorted(i for i in gaps if at[i] - at[i - 1] > 1), len(at)]
+    ranges = [F.col("docid").between(at[lo], at[hi - 1]) for lo, hi in zip(edges, edges[1:], strict=False)]
+    return names.filter(reduce(lambda a, b: a | b, ranges)).filter(F.col("docid").isin(at))
+
+
+def verify(names: DataFrame, blocks: DataFrame, needles: Sequence[Needle], base_only: bool = False, named: int = 0) -> DataFrame:
+    """The names of the candidate blocks that do match.  Up to ``named`` blocks are looked up first and named to the scan."""
+    few = [r["docid"] for r in blocks.limit(named + 1).collect()] if named else []
+    if named and len(few) <= named:
+        return scan(within(names, few), needles, base_only)
     return scan(names, needles, base_only).join(blocks, "docid", "left_semi").select(*names.columns)
 
 
@@ -91,7 +112,9 @@ def group_sizes(index: Index, groups: Groups) -> dict[str, int]:
 def find(index: Index, needles: Sequence[Needle], options: Options) -> DataFrame:
     """Matching names by the index or by a scan."""
     groups = plan(needles)
-    if options.use_index is False or not groups:
+    written = index.metadata.get("n_blocks")
+    small = options.use_index is None and index.metadata.get("name_bytes", INDEX_FROM) < INDEX_FROM
+    if options.use_index is False or small or not groups:
         return scan(index.names, needles, options.basename)
     counts = group_sizes(index, groups)
     if any(not sum(counts.get(t, 0) for t in g) for g in groups):
@@ -99,10 +122,10 @@ def find(index: Index, needles: Sequence[Needle], options: Options) -> DataFrame
     chosen = cut(groups, counts)
     if options.use_index is None:
         least = min(sum(counts.get(t, 0) for t in g) for g in chosen)
-        blocks = index.names.agg(F.max("docid")).first()[0]
-        if least > WORTHWHILE * ((blocks or 0) + 1):
+        blocks = (index.names.agg(F.max("docid")).first()[0] or 0) + 1 if written is None else written
+        if least > WORTHWHILE * blocks:
             return scan(index.names, needles, options.basename)
-    return verify(index.names, candidates(index.postings, chosen), needles, options.basename)
+    return verify(index.names, candidates(index.postings, chosen), needles, options.basename, 0 if written is None else NAMED_BLOCKS)
 
 
 def search(indexes: Sequence[Index], patterns: Sequence[str], options: Options | None = None) -> DataFrame:

@@ -19,10 +19,11 @@ from pathweave.operators import mounts as MT
 from pathweave.operators import ordering as O
 from pathweave.operators import prune as PR
 from pathweave.operators.render import rendered
-from pathweave.operators.search import Options, candidates, search
+from pathweave.operators.search import Options, candidates, lookup, search
 from pathweave.operators.visibility import visible
 from pathweave.plans.trigrams import plan
-from pathweave.tables import shared_dir
+from pathweave.sources import files
+from pathweave.tables import place
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,9 +113,14 @@ def search_basename(spark, sf_dir):
     return _scan(tree(spark, sf_dir), "7.", basename=True)
 
 
-@_registered("select 0 as db_ordinal, page_id as seq, url as path from pages where contains(url, '/en/') order by page_id limit 20")
+def _placed(found: DataFrame) -> DataFrame:
+    """``found`` with ``place``, the number of each row in the order in which it comes out; for results with a limit."""
+    return found.coalesce(1).withColumn("place", F.monotonically_increasing_id())
+
+
+@_registered("select *, row_number() over (order by seq) - 1 as place from (select 0 as db_ordinal, page_id as seq, url as path from pages where contains(url, '/en/') order by page_id limit 20)")
 def search_limit(spark, sf_dir):
-    return _scan(urls(spark, sf_dir), "/en/", limit=20)
+    return _placed(_scan(urls(spark, sf_dir), "/en/", limit=20))
 
 
 @_registered("select count(*) as n from pages where contains(url, '/en/')")
@@ -127,11 +133,11 @@ def search_count_limit(spark, sf_dir):
     return _scan(urls(spark, sf_dir), "/en/", count=True, limit=30)
 
 
-@_registered(f"""select * from (select 0 as db_ordinal, page_id as seq, url as path from pages where contains(url, '/en/')
- union all select 1 as db_ordinal, seq, path from {_V} where contains(path, '/en/')) order by db_ordinal, seq limit 200""")
+@_registered(f"""select *, row_number() over (order by db_ordinal, seq) - 1 as place from (select * from (select 0 as db_ordinal, page_id as seq, url as path from pages where contains(url, '/en/')
+ union all select 1 as db_ordinal, seq, path from {_V} where contains(path, '/en/')) order by db_ordinal, seq limit 200)""")
 def search_multi_db(spark, sf_dir):
     both = [_bare(urls(spark, sf_dir)), _bare(tree(spark, sf_dir))]
-    return search(both, ["/en/"], Options(use_index=False, limit=200))
+    return _placed(search(both, ["/en/"], Options(use_index=False, limit=200)))
 
 
 def _denied(spark, sf_dir):
@@ -185,14 +191,14 @@ def search_indexed_icase(spark, sf_dir):
     return search([_index(urls(spark, sf_dir), 1)], ["THRE"], Options(use_index=True, ignore_case=True))
 
 
-@_registered("select 0 as db_ordinal, page_id as seq, url as path from pages where url glob '*thre*.org/*/[0-9]*'")
+@_registered("select 0 as db_ordinal, page_id as seq, url as path from pages where url glob '*eth*.org/*/[0-9]*'")
 def search_indexed_glob(spark, sf_dir):
-    return search([_index(urls(spark, sf_dir), 4)], ["*thre*.org/*/[0-9]*"], Options(use_index=True))
+    return search([_index(urls(spark, sf_dir), 4)], ["*eth*.org/*/[0-9]*"], Options(use_index=True))
 
 
-@_registered(r"select 0 as db_ordinal, page_id as seq, url as path from pages where regexp_matches(url, 'thre[a-z]*\.example\.org', 's')")
+@_registered(r"select 0 as db_ordinal, page_id as seq, url as path from pages where regexp_matches(url, 'th[a-z]*re[a-z]*\.example\.', 's')")
 def search_indexed_regex(spark, sf_dir):
-    return search([_index(urls(spark, sf_dir), 4)], [r"thre[a-z]*\.example\.org"], Options(use_index=True, regex="extended"))
+    return search([_index(urls(spark, sf_dir), 4)], [r"th[a-z]*re[a-z]*\.example\."], Options(use_index=True, regex="extended"))
 
 
 @_registered("select 0 as db_ordinal, page_id as seq, url as path from pages where contains(url, '/en/') and contains(url, 'ththre')")
@@ -225,10 +231,11 @@ def dir_order(spark, sf_dir):
     return O.with_seq(tree(spark, sf_dir).select("path"), F.split("path", "/"), seq="place")
 
 
-@_registered(f"select seq, path, string_split(path, '/')[-1] as base, regexp_replace(path, '/[^/]*$', '') as dir, len(string_split(path, '/')) - 2 as n_ancestors from {_V}")
+@_registered(f"select seq, path, string_split(path, '/')[-1] as base, regexp_replace(path, '/[^/]*$', '') as dir,
+ '/' || string_split(path, '/')[2] || ':/' || string_split(path, '/')[2] || '/' || string_split(path, '/')[3] as ancestors from {_V}")
 def path_parts(spark, sf_dir):
     p = F.col("path")
-    return tree(spark, sf_dir).select("seq", "path", P.basename(p).alias("base"), P.parent(p).alias("dir"), F.size(P.ancestors(p)).cast("long").alias("n_ancestors"))
+    return tree(spark, sf_dir).select("seq", "path", P.basename(p).alias("base"), P.parent(p).alias("dir"), F.array_join(F.array_sort(P.ancestors(p)), ":").alias("ancestors"))
 
 
 @_registered(f"select seq, path from {_V} where not starts_with(path, '/src1/') and not starts_with(path, '/src2/fr/')")
@@ -331,16 +338,14 @@ def reservoir_sample(spark, sf_dir):
 
 @_registered("select page_id as seq, url as path from pages where contains(url, '.example.com/en/')")
 def standing_search(spark, sf_dir):
-    import uuid
-
     from pathweave.streaming.changes import standing_search as standing
 
     names = spark.readStream.schema("page_id long, url string, html string").option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/pages.parquet*")
     found = standing(names.selectExpr("page_id as seq", "url as path"), [".example.com/en/"])
-    place = f"{shared_dir(spark)}/pathweave-{uuid.uuid4().hex}"
-    query = found.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start()
+    where = place(spark, "stream")
+    query = found.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema("seq long, path string").parquet(f"{place}/out")
+    return spark.read.schema("seq long, path string").parquet(f"{where}/out")
 
 
 @_registered("select distinct '/' || source || '/' || lang as dir from documents where lang = 'de' or source = 'src3'")
@@ -349,3 +354,100 @@ def hidden_dirs(spark, sf_dir):
     names = tree(spark, sf_dir)
     seen = visible(names, _denied(spark, sf_dir))
     return names.join(seen, "seq", "left_anti").select(P.parent(F.col("path")).alias("dir")).distinct()
+
+
+def _written(spark, names: DataFrame, block_size: int = 4) -> I.Index:
+    """An index that was written and is read again."""
+    path = place(spark, "index")
+    I.write(I.build(names, block_size), path)
+    return I.read(spark, path)
+
+
+@_registered("select 0 as db_ordinal, page_id as seq, url as path from pages where contains(url, 'th') and contains(url, '.example.org/')")
+def written_substrings(spark, sf_dir):
+    return search([_written(spark, urls(spark, sf_dir))], ["th", ".example.org/"], Options(use_index=True))
+
+
+@_registered("select 0 as db_ordinal, page_id as seq, url as path from pages where url glob '*//[a-m]*re*/fr/*'")
+def written_glob(spark, sf_dir):
+    return search([_written(spark, urls(spark, sf_dir))], ["*//[a-m]*re*/fr/*"], Options(use_index=True))
+
+
+@_registered("select 0 as db_ordinal, page_id as seq, url as path from pages where regexp_matches(url, '(?i)ORG/DE')")
+def written_icase(spark, sf_dir):
+    return search([_written(spark, urls(spark, sf_dir))], ["ORG/DE"], Options(use_index=True, ignore_case=True))
+
+
+@_registered("select 0 as db_ordinal, doc_id as seq, text as path from documents where regexp_matches(text, 'Released under the [A-Z]+ License', 's')")
+def written_regex(spark, sf_dir):
+    index = _written(spark, texts(spark, sf_dir), 1)
+    return search([index], ["Released under the [A-Z]+ License"], Options(use_index=True, regex="extended"))
+
+
+@_registered(f"select 0 as db_ordinal, seq, path from {_V} where string_split(path, '/')[-1] glob '*9?.txt'")
+def written_basename(spark, sf_dir):
+    return search([_written(spark, tree(spark, sf_dir))], ["*9?.txt"], Options(use_index=True, basename=True))
+
+
+@_registered("""select 'names' as section, count(*)::bigint as n from pages union all select 'blocks', ceil(count(*) / 32.0)::bigint from pages
+ union all select 'bytes', sum(octet_length(encode(url)))::bigint from pages""")
+def written_metadata(spark, sf_dir):
+    m = _written(spark, urls(spark, sf_dir), 32).metadata
+    return spark.createDataFrame([("names", m["n_names"]), ("blocks", m["n_blocks"]), ("bytes", m["name_bytes"])], "section string, n long")
+
+
+@_registered("select row_number() over (order by url) - 1 as seq, url as path from pages")
+def source_text(spark, sf_dir):
+    """Names written as a text file and read back as a source of names."""
+    path = place(spark, "names")
+    urls(spark, sf_dir).select("path").repartitionByRange(1, "path").sortWithinPartitions("path").write.text(path)
+    return files.text_names(spark, path)
+
+
+_MOUNT_LINE = "concat(n_nationkey + 1, ' ', n_regionkey, ' 8:', n_regionkey, ' /r /mnt\\\\040', n_name, ' rw shared:1 - ', lower(substr(n_name, 1, 3)), ' /dev/', n_nationkey, ' rw')"
+
+
+@_registered("select n_nationkey + 1 as id, n_regionkey as parent_id, 8 as dev_major, n_regionkey as dev_minor, '/r' as root, split_part('/mnt ' || n_name, ' rw', 1) as mount_point, lower(substr(n_name, 1, 3)) as fs_type, '/dev/' || n_nationkey as source from nation")
+def source_mountinfo(spark, sf_dir):
+    return files.mount_info(_table(spark, sf_dir, "nation").filter("n_name not like '% %'").selectExpr(f"{_MOUNT_LINE} as value"))
+
+
+@_registered("select min(n_nationkey) as ordinal, '/mnt/3' as mount_point, 'fs' || min(n_nationkey) as fs_type from nation where n_regionkey = 3")
+def source_mntent(spark, sf_dir):
+    rows = _table(spark, sf_dir, "nation").selectExpr("n_nationkey as ordinal", "concat('/dev/', n_name, ' /mnt/', n_regionkey, ' fs', n_nationkey, ' rw 0 0') as value")
+    return files.mounts_at(rows, "/mnt/3")
+
+
+@_registered(r"""select doc_id as seq, source as parent, doc_id % 7 = 0 as direct, '/' || source as dir, len(regexp_extract_all(text, '[^ \t\n\v\f\r]+')) as n_parts,
+ case doc_id % 3 when 0 then true when 1 then false end as flag, true as below from documents where text is not null""")
+def path_predicates(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").filter("text is not null")
+    path = F.concat(F.lit("/"), "source", F.when(F.col("doc_id") % 7 == 0, F.lit("/")).otherwise(F.lit("/sub/")), F.col("doc_id").cast("string"))
+    dir_ = F.concat(F.lit("/"), "source")
+    n_parts = F.size(P.words(F.col("text"))).cast("long")
+    flag = P.flag(F.element_at(F.array(F.lit("yes"), F.lit("0"), F.lit("y")), (F.col("doc_id") % 3 + 1).cast("int")))
+    return d.select(F.col("doc_id").alias("seq"), F.col("source").alias("parent"), P.is_child(path, dir_).alias("direct"), dir_.alias("dir"), n_parts.alias("n_parts"), flag.alias("flag"), P.prefix_of(dir_, path).alias("below"))
+
+
+@_registered("select seq, path, path as back from (select page_id as seq, url as path from pages)")
+def octal_paths(spark, sf_dir):
+    p = F.col("path")
+    return urls(spark, sf_dir).select("seq", "path", P.octal_unescape(F.replace(F.replace(p, F.lit("/"), F.lit("\\057")), F.lit("e"), F.lit("\\145"))).alias("back"))
+
+
+@_registered("select trgm, count(*) as n from (select trgm, gid from (values ('746874', 0), ('687468', 0), ('2E6578', 1), ('746874', 1)) t(trgm, gid)) g join " + _TRIGRAMS + " using (trgm) group by trgm")
+def trigram_in_two_groups(spark, sf_dir):
+    """The postings of a query in which one trigram stands in two groups."""
+    postings = I.build_trigrams(O.with_docid(urls(spark, sf_dir)))
+    return lookup(postings, [frozenset({"746874", "687468"}), frozenset({"2E6578", "746874"})]).groupBy("trgm").agg(F.count("*").alias("n"))
+
+
+@_registered("select 0 as db_ordinal, page_id as seq, url as path from pages where contains(url, '/e')")
+def search_two_bytes(spark, sf_dir):
+    """A pattern too short for a trigram: the index can't help, so all names are read."""
+    return search([_index(urls(spark, sf_dir), 4)], ["/e"], Options(use_index=True))
+
+
+@_registered("select seq, path from " + _V + " where not starts_with(path, '/src1/') and not list_contains(list_slice(string_split(path, '/'), 1, -2), 'es') and not starts_with(path, '/src7/de/') and not starts_with(path, '/src2/') and not starts_with(path, '/src5/') and not starts_with(path, '/src6/')")
+def prune_all(spark, sf_dir):
+    return PR.prune(tree(spark, sf_dir), PR.PruneConfig(True, ["nfs", "tmpfs"], ["es"], ["/src1"]), _mounts(spark))

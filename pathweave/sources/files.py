@@ -13,8 +13,8 @@ from pathweave.functions.paths import octal_unescape
 from pathweave.operators.ordering import with_seq
 from pathweave.tables import ship
 
-#: The first eight bytes of a binary path database.
-MAGIC = bytes.fromhex("006d6c6f63617465")
+#: Fixed value of the format: the first eight bytes of a binary path database.
+MAGIC = b"\0mlocate"
 
 
 def text_names(spark: SparkSession, path: str) -> DataFrame:
@@ -34,20 +34,28 @@ def parse_path_database(data: bytes) -> Iterator[tuple[bytes, bool]]:
         raise ValueError("this is no path database")
 
     def string(at: int) -> tuple[bytes, int]:
-        end = data.index(b"\0", at)
+        end = data.find(b"\0", at)
+        if end < 0:
+            raise IndexError
         return data[at:end], end + 1
 
-    (settings,) = struct.unpack_from(">I", data, 8)
-    _, at = string(16)
-    at += settings
-    while at < len(data):
-        directory, at = string(at + 16)
-        base = b"" if directory == b"/" else directory
-        while data[at] in (0, 1):
-            is_dir = data[at] == 1
-            name, at = string(at + 1)
-            yield base + b"/" + name, is_dir
-        at += 1
+    at = 0
+    try:
+        (settings,) = struct.unpack_from(">I", data, 8)
+        _, at = string(16)
+        at += settings
+        while at < len(data):
+            directory, at = string(at + 16)
+            base = b"" if directory == b"/" else directory
+            while data[at] in (0, 1):
+                is_dir = data[at] == 1
+                name, at = string(at + 1)
+                yield base + b"/" + name, is_dir
+            if data[at] != 2:
+                raise ValueError(f"unknown kind of entry {data[at]} in the path database, at byte {at}")
+            at += 1
+    except (IndexError, struct.error):
+        raise ValueError(f"the path database breaks off after byte {at}") from None
 
 
 def path_database(spark: SparkSession, path: str) -> DataFrame:

@@ -21,6 +21,22 @@ def _entry(parent: str, e: os.DirEntry) -> tuple:
     return parent, e.name, path, is_dir, t // 10**9, t % 10**9, s.st_dev, not is_dir or os.access(path, os.R_OK | os.X_OK)
 
 
+def _entries(parent: str) -> list[tuple]:
+    """A directory's entries by name; one that vanishes meanwhile is left out alone."""
+    found = []
+    with os.scandir(parent) as it:
+        for e in it:
+            try:
+                found.append(_entry(parent, e))
+            except FileNotFoundError:
+                continue
+    return sorted(found, key=lambda x: x[1].encode("utf-8", "surrogateescape"))
+
+
+def _clean(row: tuple) -> tuple:
+    return tuple(x.encode("utf-8", "surrogateescape").decode("utf-8", "replace") if isinstance(x, str) else x for x in row)
+
+
 def walk(top: str, closed: frozenset[str], names: frozenset[str]) -> Iterator[tuple]:
     """All entries below ``top``: a directory's children by name, then the contents of its subdirectories.  What is
     pruned or can't be read is listed and not entered."""
@@ -28,12 +44,10 @@ def walk(top: str, closed: frozenset[str], names: frozenset[str]) -> Iterator[tu
     while stack:
         here = stack.pop()
         try:
-            with os.scandir(here) as it:
-                found = sorted((_entry(here, e) for e in it), key=lambda x: x[1].encode("utf-8", "surrogateescape"))
+            found = _entries(here)
         except (PermissionError, FileNotFoundError, NotADirectoryError):
             continue
-        for row in found:
-            yield row[:1] + tuple(x.encode("utf-8", "surrogateescape").decode("utf-8", "replace") if isinstance(x, str) else x for x in row[1:3]) + row[3:]
+        yield from map(_clean, found)
         stack += [r[2] for r in reversed(found) if r[3] and r[2] not in closed and r[1] not in names]
 
 
@@ -57,8 +71,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Subtree) -> Iterator[tuple]:
         if not partition.alone:
             return walk(partition.top, self.closed, self.names)
-        with os.scandir(self.root) as it:
-            return iter(sorted(_entry(self.root, e) for e in it))
+        return map(_clean, _entries(self.root))
 
 
 class ListingSource(DataSource):

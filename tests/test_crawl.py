@@ -1,0 +1,111 @@
+import os
+import struct
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from pathweave.operators import crawl as C
+from pathweave.operators.mounts import pruned_mounts
+from pathweave.operators.prune import PruneConfig
+from pathweave.sources import files, listing
+
+MOUNTS = "id int, parent_id int, dev_major int, dev_minor int, root string, mount_point string, fs_type string, source string"
+
+
+@pytest.fixture
+def top(tmp_path):
+    for f in ("a/x", "a/b/y", "c/.git/z", "skip/q", "bind/w", "deep/1/2/3/4/f", "top"):
+        (tmp_path / "t" / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / f).write_text("")
+    os.makedirs(os.fsencode(tmp_path / "t") + b"/odd\xff/in")
+    return str(tmp_path / "t")
+
+
+def listed(df, top):
+    return {r["path"].removeprefix(top): r for r in df.collect()}
+
+
+def test_crawl(spark, top):
+    mounts = spark.createDataFrame([(1, 0, 8, 1, "/", "/", "ext4", "x"), (2, 1, 8, 1, "/srv", f"{top}/bind", "ext4", "x")], MOUNTS)
+    c = PruneConfig(True, (), (".git",), (f"{top}/skip",))
+    got = listed(C.crawl(spark, top, c, mounts, now=time.time() + 60), top)
+    assert set(got) == {"/a", "/a/x", "/a/b", "/a/b/y", "/c", "/c/.git", "/skip", "/bind", "/top", "/odd�", "/odd�/in", "/deep", "/deep/1", "/deep/1/2", "/deep/1/2/3", "/deep/1/2/3/4", "/deep/1/2/3/4/f"}
+    assert {p for p, r in got.items() if r["state"] == "pruned"} == {"/c/.git", "/skip", "/bind"}
+    assert (got["/c/.git"]["sec"], got["/top"]["sec"]) == (0, -1) and got["/a"]["sec"] > 0
+    assert got["/a"]["sec"] == int(max(os.stat(f"{top}/a").st_mtime, os.stat(f"{top}/a").st_ctime))
+    again = listed(C.crawl(spark, top, c, mounts, now=os.stat(f"{top}/a").st_mtime - 60), top)
+    assert all(r["sec"] == 0 for r in again.values() if r["is_dir"] and r["state"] == "open")  # they may change within the clock's grain
+
+
+def test_unchanged_directories_are_not_read(spark, top):
+    before = C.crawl(spark, top, PruneConfig(), now=time.time() + 60)
+    ghost = before.filter(F.col("path") == f"{top}/a/x").withColumn("name", F.lit("ghost")).withColumn("path", F.lit(f"{top}/a/ghost"))
+    told = before.unionByName(ghost)
+    os.remove(f"{top}/a/b/y")
+    open(f"{top}/c/new", "w").close()
+    got = listed(C.crawl(spark, top, PruneConfig(), before=told, now=time.time() + 60), top)
+    assert "/a/ghost" in got  # its directory has the time that it had, so it was not read
+    assert "/a/b/y" not in got and "/c/new" in got and "/c/.git/z" in got and "/odd�/in" in got and "/deep/1/2/3/4/f" in got
+
+
+def test_looks(tmp_path, monkeypatch):
+    (tmp_path / "d").mkdir()
+    path, device = os.fsencode(tmp_path / "d"), os.stat(tmp_path / "d").st_dev
+    rules = C.Rules(PruneConfig(names=("n",)))
+    assert rules.look(path + b"/none", device, time.time()) is None
+    assert rules.look(b"/x/n", device, 0)[3] == "pruned"
+    assert rules.look(path, device, time.time() + 9)[3] == "open"
+    rules.systems = frozenset([path])
+    assert rules.look(path, device, time.time() + 9)[3] == "open"  # file systems are looked for where the device changes
+    assert rules.look(path, device + 1, time.time() + 9) == (0, 0, device, "pruned")
+
+    def fails(*_):
+        raise OSError(5, "no answer")
+
+    monkeypatch.setattr(C.os, "fstat", fails)
+    assert rules.look(path, device, 0)[3] == "pruned"
+    rules.systems = frozenset()
+    with pytest.raises(OSError):
+        rules.look(path, device, 0)
+    monkeypatch.undo()
+    monkeypatch.setattr(C.os, "open", lambda *_: (_ for _ in ()).throw(PermissionError(13, "closed")))
+    assert rules.look(path, device, 0) == (0, 0, device, "closed")
+    monkeypatch.setattr(C.os, "open", lambda *_: (_ for _ in ()).throw(OSError(24, "too many")))
+    with pytest.raises(OSError):
+        rules.look(path, device, 0)
+
+
+def test_listing_without_what_vanishes(tmp_path, monkeypatch):
+    for f in ("a", "b", "c"):
+        (tmp_path / f).write_text("")
+    real = listing._entry
+
+    def entry(parent, e):
+        if e.name == "b":
+            raise FileNotFoundError(e.name)
+        return real(parent, e)
+
+    monkeypatch.setattr(listing, "_entry", entry)
+    assert [r[1] for r in listing.walk(str(tmp_path), frozenset(), frozenset())] == ["a", "c"]
+
+
+def test_listing_names_that_are_no_text(tmp_path):
+    os.makedirs(os.fsencode(tmp_path) + b"/\xff/in")
+    rows = list(listing.walk(str(tmp_path), frozenset(), frozenset()))
+    assert [r[0].removeprefix(str(tmp_path)) + "|" + r[1] for r in rows] == ["|�", "/�|in"]
+
+
+def test_mounts_in_a_circle(spark):
+    rows = [(1, 3, 8, 1, "/", "/1", "e", ""), (2, 1, 8, 1, "/", "/2", "e", ""), (3, 2, 8, 1, "/", "/3", "e", ""), (4, 0, 8, 1, "/", "/4", "e", "")]
+    m = spark.createDataFrame(rows, MOUNTS)
+    assert {r["id"] for r in pruned_mounts(m.withColumn("pruned", F.col("id") == 1)).collect()} == {1, 2, 3}
+
+
+def test_broken_path_database():
+    head = files.MAGIC + struct.pack(">IBBH", 0, 0, 1, 0) + b"/\0"
+    record = struct.pack(">QII", 5, 6, 0) + b"/\0" + b"\0name\0"
+    assert list(files.parse_path_database(head + record + b"\2")) == [(b"/name", False)]
+    for bad in (head + record, head + record[:-1], head[:14], head + record + b"\7"):
+        with pytest.raises(ValueError, match="path database"):
+            list(files.parse_path_database(bad))

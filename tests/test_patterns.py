@@ -187,5 +187,5 @@ def test_cut():
 def test_glob_agrees_with_fnmatch(pattern, name):
     from pathweave.functions.patterns import glob_regex
 
-    found = re.match(glob_regex(glob_tokens(pattern)).replace("\\z", "\\Z"), name) is not None
+    found = re.search(glob_regex(glob_tokens(pattern)).replace("\\z", "\\Z"), name) is not None
     assert found == fnmatch.fnmatchcase(name, pattern)

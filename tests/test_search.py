@@ -1,7 +1,10 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from pathweave.operators import index as I
+from pathweave.operators import search as S
 from pathweave.operators.ordering import in_dir_order, ordered, sample_blocks, with_docid, with_seq
 from pathweave.operators.search import Options, exit_status, search
 from pathweave.operators.visibility import existing, visible
@@ -83,12 +86,45 @@ def test_existing(spark, names):
 
 def test_versions(spark, built, names):
     first = I.read(spark, built)
-    assert first.metadata == {"version": 1, "block_size": 4, "check_visibility": True, "conf_block": "x"}
-    I.write(I.build(names.limit(3), 2), built)
+    asked = {"version": 1, "block_size": 4, "check_visibility": True, "conf_block": "x"}
+    assert asked.items() <= first.metadata.items()
+    n = first.names.agg(F.count("*"), F.max("docid") + 1, F.sum(F.octet_length("path"))).first()
+    assert [first.metadata[k] for k in ("n_names", "n_blocks", "name_bytes", "before")] == [*n, None]
+    second = I.write(I.build(names.limit(3), 2), built)
     assert I.read(spark, built).names.count() < first.names.count()
     assert set(I.section_sizes(spark, built)) == {"names", "postings", "stats", "metadata"}
+    third = I.write(I.build(names.limit(2), 2), built)
+    assert sorted(x for x in os.listdir(built.removeprefix("file://")) if x.startswith("v-")) == sorted([second, third])  # the first one has gone
     with pytest.raises(FileNotFoundError):
         I.read(spark, built + "-none")
+    r = I.codec_report(spark, built)
+    assert r["n_postings"] == I.read(spark, built).postings.count() and r["bytes_per_posting"] == r["bytes"] / max(1, r["n_postings"])
+
+
+def test_written_index_reads_candidates(spark, tmp_path, monkeypatch):
+    names = spark.range(5000).select(F.col("id").alias("seq"), F.concat(F.lit("/d/"), F.col("id").cast("string"), F.when(F.col("id") % 977 == 5, F.lit("/needle")).otherwise(F.lit("/hay"))).alias("path"))
+    place = str(tmp_path / "i")
+    I.write(I.build(names, 4), place)
+    index = I.read(spark, place)
+    expected = [r["path"] for r in names.filter(F.col("path").contains("needle")).orderBy("seq").collect()]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = search([index], ["needle"], Options(use_index=True))
+    assert paths(found) == expected
+    assert "GreaterThanOrEqual(docid" in plan(found) and "Join" not in plan(found)
+    scanned = search([index], ["needle"])  # too small for an index
+    assert paths(scanned) == expected and "docid" not in plan(scanned).split("PushedFilters")[1]
+    monkeypatch.setattr(S, "INDEX_FROM", 0)
+    assert paths(search([index], ["needle"])) == expected and "GreaterThanOrEqual(docid" in plan(search([index], ["needle"]))
+    monkeypatch.setattr(S, "NAMED_BLOCKS", 2)
+    joined = search([index], ["needle"])
+    assert paths(joined) == expected and "Join" in plan(joined)
+    assert paths(search([index], ["needle", "hay"], Options(use_index=True))) == []
+
+
+def test_ranges_of_blocks(spark):
+    names = spark.range(2000).select(F.col("id").alias("docid"), F.lit("x").alias("path"))
+    for docids in ([], [7], [1, 2, 3], list(range(0, 2000, 9)), [1999, 0]):
+        assert sorted(r["docid"] for r in S.within(names, docids).collect()) == sorted(docids)
 
 
 def test_dense_order(spark):
