@@ -191,9 +191,9 @@ def search_indexed_icase(spark, sf_dir):
     return search([_index(urls(spark, sf_dir), 1)], ["THRE"], Options(use_index=True, ignore_case=True))
 
 
-@_registered("select 0 as db_ordinal, page_id as seq, url as path from pages where url glob '*eth*.org/*/[0-9]*'")
+@_registered("select 0 as db_ordinal, page_id as seq, url as path from pages where url glob '*e*.org/*/[0-9]*'")
 def search_indexed_glob(spark, sf_dir):
-    return search([_index(urls(spark, sf_dir), 4)], ["*eth*.org/*/[0-9]*"], Options(use_index=True))
+    return search([_index(urls(spark, sf_dir), 4)], ["*e*.org/*/[0-9]*"], Options(use_index=True))
 
 
 @_registered(r"select 0 as db_ordinal, page_id as seq, url as path from pages where regexp_matches(url, 'th[a-z]*re[a-z]*\.example\.', 's')")
@@ -231,8 +231,8 @@ def dir_order(spark, sf_dir):
     return O.with_seq(tree(spark, sf_dir).select("path"), F.split("path", "/"), seq="place")
 
 
-@_registered(f"select seq, path, string_split(path, '/')[-1] as base, regexp_replace(path, '/[^/]*$', '') as dir,
- '/' || string_split(path, '/')[2] || ':/' || string_split(path, '/')[2] || '/' || string_split(path, '/')[3] as ancestors from {_V}")
+@_registered(f"""select seq, path, string_split(path, '/')[-1] as base, regexp_replace(path, '/[^/]*$', '') as dir,
+ '/' || string_split(path, '/')[2] || ':/' || string_split(path, '/')[2] || '/' || string_split(path, '/')[3] as ancestors from {_V}""")
 def path_parts(spark, sf_dir):
     p = F.col("path")
     return tree(spark, sf_dir).select("seq", "path", P.basename(p).alias("base"), P.parent(p).alias("dir"), F.array_join(F.array_sort(P.ancestors(p)), ":").alias("ancestors"))
@@ -264,16 +264,25 @@ def prune_fs(spark, sf_dir):
     return PR.prune_fs(tree(spark, sf_dir), _mounts(spark), ["NFS", "TmpFs"])
 
 
-@_registered(f"""select a.* from (select * from {_MOUNTS}) a where exists (select 1 from (select * from {_MOUNTS}) b where a.dev_major = b.dev_major and a.dev_minor = b.dev_minor
+#: Mounts made of a table: 25 rows, one for each nation.
+_NATION_MOUNTS = """select n_nationkey + 1 as id, cast(floor(n_nationkey / 3) as int) as parent_id, 8 as dev_major, n_regionkey as dev_minor, concat('/', substr(n_name, 1, 1 + n_nationkey % 2)) as root,
+ concat('/mnt/', n_name) as mount_point, case when n_nationkey in (5, 13) then 'nfs' else 'ext4' end as fs_type from nation"""
+
+
+def _nation_mounts(spark, sf_dir) -> DataFrame:
+    return spark.sql(_NATION_MOUNTS.replace("from nation", "from {nation}"), nation=_table(spark, sf_dir, "nation"))
+
+
+@_registered(f"""with m as ({_NATION_MOUNTS}) select a.* from m a where exists (select 1 from m b where a.dev_major = b.dev_major and a.dev_minor = b.dev_minor
  and a.id <> b.id and (length(a.root) > length(b.root) and starts_with(a.root, b.root) or a.root = b.root and a.id > b.id))""")
 def bind_mounts(spark, sf_dir):
-    return MT.bind_mounts(_mounts(spark))
+    return MT.bind_mounts(_nation_mounts(spark, sf_dir))
 
 
-@_registered(f"""with recursive m as (select * from {_MOUNTS}), gone(id) as (select id from m where fs_type = 'nfs' union select m.id from m join gone on m.parent_id = gone.id)
+@_registered(f"""with recursive m as ({_NATION_MOUNTS}), gone(id) as (select id from m where fs_type = 'nfs' union select m.id from m join gone on m.parent_id = gone.id where m.parent_id <> 0)
  select mount_point from m where id in (select id from gone)""")
 def mount_prune_closure(spark, sf_dir):
-    return MT.pruned_mounts(_mounts(spark).withColumn("pruned", F.col("fs_type") == "nfs")).select("mount_point")
+    return MT.pruned_mounts(_nation_mounts(spark, sf_dir).withColumn("pruned", F.col("fs_type") == "nfs")).select("mount_point")
 
 
 @_registered(f"select seq, path from {_V} where not starts_with(path, '/src2/') and not starts_with(path, '/src5/') and not starts_with(path, '/src6/')")
@@ -368,9 +377,9 @@ def written_substrings(spark, sf_dir):
     return search([_written(spark, urls(spark, sf_dir))], ["th", ".example.org/"], Options(use_index=True))
 
 
-@_registered("select 0 as db_ordinal, page_id as seq, url as path from pages where url glob '*//[a-m]*re*/fr/*'")
+@_registered("select 0 as db_ordinal, page_id as seq, url as path from pages where url glob '*//[a-m]*re*/*/*'")
 def written_glob(spark, sf_dir):
-    return search([_written(spark, urls(spark, sf_dir))], ["*//[a-m]*re*/fr/*"], Options(use_index=True))
+    return search([_written(spark, urls(spark, sf_dir))], ["*//[a-m]*re*/*/*"], Options(use_index=True))
 
 
 @_registered("select 0 as db_ordinal, page_id as seq, url as path from pages where regexp_matches(url, '(?i)ORG/DE')")
