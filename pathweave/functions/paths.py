@@ -87,10 +87,32 @@ def prefix_of(a: Column, b: Column) -> Column:
 _ESCAPES = {7: "\\a", 8: "\\b", 9: "\\t", 10: "\\n", 11: "\\v", 12: "\\f", 13: "\\r", 34: '\\"', 39: "\\'", 92: "\\\\"}
 
 
+_UNSAFE = r"""(?s)[\x00-\x1f'"\\`]"""
+#: The well-formed sequences of UTF-8, a byte to a character.
+_UTF8 = r"[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
+
+
+def characters(raw: Column) -> Column:
+    """The characters of a binary value that should be UTF-8; null for each byte that is part of none."""
+    each = F.regexp_extract_all(F.decode(raw, "ISO-8859-1"), F.lit(f"(?s)({_UTF8}|.)"), F.lit(1))
+    return F.transform(each, lambda c: F.when((F.length(c) > 1) | (c < "\x80"), F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")))
+
+
 def shell_quote(path: Column) -> Column:
     """A name as a shell reads it back: as it is where it is safe, else in single quotes, with runs of control
     characters, quotes and backslashes as ``'$'...''``.  A backtick asks for quotes and stands in them."""
-    safe = ~path.rlike(r"""(?s)[\x00-\x1f'"\\`]""")
+    return F.when(~path.rlike(_UNSAFE), path).otherwise(_in_quotes(F.filter(F.split(path, ""), lambda c: c != "")))
+
+
+def shell_quote_bytes(raw: Column) -> Column:
+    """The same for a name in bytes: one that is no UTF-8 is quoted, with a question mark for each byte that is none."""
+    chars = characters(raw)
+    text = F.array_join(chars, "")
+    safe = ~F.exists(chars, lambda c: c.isNull()) & ~text.rlike(_UNSAFE)
+    return F.when(safe, text).otherwise(_in_quotes(chars))
+
+
+def _in_quotes(chars: Column) -> Column:
 
     def escaped(c: Column) -> Column:
         out = F.when(c == chr(7), F.lit("\\a"))
@@ -103,12 +125,11 @@ def shell_quote(path: Column) -> Column:
         e = escaped(c)
         opened = F.when(state["in"], F.lit("")).otherwise(F.lit("'$'"))
         closed = F.when(state["in"], F.lit("''")).otherwise(F.lit(""))
-        text = F.when(e.isNotNull(), F.concat(state["out"], opened, e)).otherwise(F.concat(state["out"], closed, c))
-        return F.struct(text.alias("out"), e.isNotNull().alias("in"))
+        text = F.when(c.isNull(), F.concat(state["out"], F.lit("?"))).when(e.isNotNull(), F.concat(state["out"], opened, e)).otherwise(F.concat(state["out"], closed, c))
+        return F.struct(text.alias("out"), F.when(c.isNull(), state["in"]).otherwise(e.isNotNull()).alias("in"))
 
     start = F.struct(F.lit("'").alias("out"), F.lit(False).alias("in"))
-    quoted = F.aggregate(F.filter(F.split(path, ""), lambda c: c != ""), start, step, lambda s: F.concat(s["out"], F.lit("'")))
-    return F.when(safe, path).otherwise(quoted)
+    return F.aggregate(chars, start, step, lambda s: F.concat(s["out"], F.lit("'")))
 
 
 def lines(path: Column, end: str = "\n") -> Column:

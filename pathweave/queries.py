@@ -460,3 +460,10 @@ def search_two_bytes(spark, sf_dir):
 @_registered("select seq, path from " + _V + " where not starts_with(path, '/src1/') and not list_contains(list_slice(string_split(path, '/'), 1, -2), 'es') and not starts_with(path, '/src7/de/') and not starts_with(path, '/src2/') and not starts_with(path, '/src5/') and not starts_with(path, '/src6/')")
 def prune_all(spark, sf_dir):
     return PR.prune(tree(spark, sf_dir), PR.PruneConfig(True, ["nfs", "tmpfs"], ["es"], ["/src1"]), _mounts(spark))
+
+
+@_registered(r"""select page_id as seq, case page_id % 3 when 0 then url when 1 then '''' || url || '?''' else '''' || url || '''$''\n??''''é''' end as quoted from pages""")
+def shell_quote_bytes(spark, sf_dir):
+    raw, odd = F.encode("path", "UTF-8"), F.col("seq") % 3
+    named = F.when(odd == 0, raw).when(odd == 1, F.concat(raw, F.unhex(F.lit("FF")))).otherwise(F.concat(raw, F.unhex(F.lit("0AE381C3A9"))))
+    return urls(spark, sf_dir).select("seq", P.shell_quote_bytes(named).alias("quoted"))
