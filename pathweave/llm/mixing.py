@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathweave.operators.ordering import with_seq
+
 from .common import columns_of, is_small, n_words, row_hash, settled
 
 #: Bits of the hash that one histogram resolves, and bits of the hash.
@@ -46,13 +48,14 @@ def _beside(rows: DataFrame, per_source: DataFrame, small: bool) -> DataFrame:
     return left.join(right, F.col("s").eqNullSafe(F.col("_s")) & (F.col("_salt") == F.col("_to"))).drop("_s", "_salt", "_to")
 
 
-def targets(totals: DataFrame, weights: Sequence[float], max_repeats: int) -> DataFrame:
+def targets(totals: DataFrame, weights: Sequence[float], max_repeats: int, small: bool = True) -> DataFrame:
     """Add ``target`` to a table with a row for each source: ``s``, ``source_size``.
 
-    The sources are numbered in one task; they are as many rows as there are sources."""
-    place = F.row_number().over(Window.orderBy(F.col("s").isNull(), F.col("s"))) - 1
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (place % len(weights) + 1).cast("int"))
-    sized = settled(totals.withColumn("w", w), "weights")
+    A ``small`` number of sources is numbered in one task, others by ranges and offsets."""
+    order = F.col("s").isNull(), F.col("s")
+    placed = totals.withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1) if small else with_seq(totals, *order, seq="place")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    sized = settled(placed.select("s", "source_size", w.alias("w")), "weights")
     most, level, total = F.col("source_size") * float(max_repeats), 0.0, None
     while True:  # each turn caps at least one more source, and most often there are two or three turns
         capped = most < F.col("w") * level
@@ -104,7 +107,7 @@ def plan_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str
     base = settled(df.select(F.col(key).alias("_key"), F.col(source).alias("s"), n_words(F.col(text)).alias("size"), _hash(key, text).alias("u")), "sizes")
     totals = settled(base.groupBy("s").agg(F.sum("size").alias("source_size")), "sources")
     small = is_small(totals, BROADCAST_ROWS)
-    plan = settled(targets(totals, weights, max_repeats), "targets")
+    plan = settled(targets(totals, weights, max_repeats, small), "targets")
     return base, settled(thresholds(base, plan, small), "thresholds"), small
 
 
