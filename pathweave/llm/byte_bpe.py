@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import python_ready
+from .common import python_ready, release
 
 #: Pre-tokens that a worker remembers; beyond, it starts anew.
 REMEMBERED = 100_000
@@ -133,6 +133,7 @@ def _extended(df: DataFrame, added: list[tuple[str, T.DataType]], work, keep: li
         for b in batches:
             arrays = [b.column(c) for c in stay]
             yield pa.RecordBatch.from_arrays([*arrays, *work(b)], names=[*stay, *names])
+        release()
 
     return df.mapInArrow(run, T.StructType(fields))
 

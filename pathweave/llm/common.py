@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathweave.tables import is_small, settled, ship
 
-__all__ = ["MAP_BITS", "SPACES", "WORD", "bit_map", "columns_of", "is_small", "n_words", "parted", "python_ready", "row_hash", "settled", "unused"]
+__all__ = ["MAP_BITS", "SPACES", "WORD", "bit_map", "columns_of", "is_small", "n_words", "parted", "python_ready", "release", "row_hash", "settled", "unused"]
+
+#: glibc's way to hand free pages back; other C libraries have none.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 #: The six ASCII white-space characters, and a word: a run of anything else.
 SPACES = r"[\x20\x09-\x0D]"
@@ -36,6 +41,13 @@ def python_ready(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def release() -> None:
+    """Give free memory of this worker back: workers are kept between stages, and so is what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def columns_of(df: DataFrame, *without: str) -> list[Column]:
     """All columns of ``df`` but those named (case does not matter), whatever characters their names have."""
     gone = {w.lower() for w in without}

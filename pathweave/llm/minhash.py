@@ -14,12 +14,11 @@ pair misses all buckets only with two errors or more in each chunk, which happen
 
 Near pairs.  Two classes are near if their 4-bit signatures differ in at most ``far(percent)`` positions, six
 standard deviations above the mean of pairs at that similarity.  No bucket emits all its pairs.  Each
-bucket's members are first compared with one member, the one whose keys are shared most (the original among its
-copies); then only those that these pairs leave in different components are compared with one another, and a
-bucket gives no more than a spanning forest of its near pairs.  What near pairs join is a group.
+class is first compared with one other, that of its buckets' members whose keys are shared most (the original among its
+copies); then only those members of a bucket that these pairs leave in different components are compared with one another,
+and a bucket gives no more than a spanning forest of its near pairs.  What near pairs join is a group.
 
-Links.  Each class's near pairs with the buckets' chosen members are confirmed on the full sets (64-bit hashes of
-the shingles).  Only a group that these links leave in several components is looked at again: its members
+Links.  Each class's first near pair is confirmed on the full sets (64-bit hashes of the shingles).  Only a group that these links leave in several components is looked at again: its members
 outside its largest component meet all its members, near pairs are confirmed in the order of their distance, and
 a pair that earlier links join already is passed over, so a block gives no more links than it has members.  Both
 comparisons work in blocks of at most ``BLOCK`` members and ``BLOCK_BYTES`` of sets on each side: no task holds a
@@ -43,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_map, columns_of, parted, python_ready, row_hash, settled
+from .common import bit_map, columns_of, parted, python_ready, release, row_hash, settled
 
 SHINGLE = 5
 POSITIONS = 512
@@ -79,6 +78,12 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    """Drop the remembered words at a partition's end, since the worker is kept for other stages."""
+    _words.clear()
+    release()
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The sorted 64-bit hashes of a text's set."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -147,6 +152,7 @@ def classes(df: DataFrame, key: str, text: str) -> DataFrame:
                 rid.append(int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())))) if len(s) else None)
                 sig.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("u"), pa.array(n, pa.int64()), pa.array(rid, pa.int64()), pa.array(sig, pa.binary())], names=["_key", "u", "n_shingles", "rid", "sig"])
+        forget()
 
     kind = rows.schema["_key"].dataType.simpleString()
     return rows.mapInArrow(run, f"_key {kind}, u long, n_shingles long, rid long, sig binary")
@@ -203,6 +209,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             both = zip(b.column("set_a"), b.column("set_b"), strict=True)  # views, no copies
             ok = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in both]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        release()
 
     return _beside(pairs, sets, "set").mapInArrow(run, "a long, b long")
 
@@ -218,6 +225,7 @@ def _sets(df: DataFrame, key: str, text: str, found: DataFrame, rids: DataFrame)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array([shingles(t).tobytes() for t in b.column("_text").to_pylist()], pa.binary())], names=["rid", "set"])
+        forget()
 
     if repeated:  # rows alike in key and text
         rows = rows.groupBy("rid").agg(F.first("_text").alias("_text"))
@@ -272,14 +280,16 @@ def _forest(right: np.ndarray, rid: np.ndarray, comp: np.ndarray, only: np.ndarr
             d = _distance(across, packed[i])
             at = np.flatnonzero(apart & (d <= most))
             if len(at):
-                found.append((d[at], np.full(len(at), i), right[at]))
+                found.append((d[at].astype(np.int16), np.full(len(at), i, np.int32), right[at].astype(np.int32)))
     if not found:
         return []
     d, x, y = (np.concatenate(c) for c in zip(*found, strict=True))
-    order = np.argsort(d, kind="stable")
+    found.clear()
+    order = np.argsort(d, kind="stable").astype(np.int32)
     numbers = np.unique(comp, return_inverse=True)[1].tolist()
     parts, out = _Parts(max(numbers) + 1), []
-    for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+    in_order = (pair for at in range(0, len(order), 4096) for pair in zip(x[order[at : at + 4096]].tolist(), y[order[at : at + 4096]].tolist(), strict=True))
+    for i, j in in_order:
         p, q = parts.top(numbers[i]), parts.top(numbers[j])
         if p != q and (sets is None or _alike(sets[i], sets[j], percent)):
             parts.join(p, q)
@@ -344,6 +354,8 @@ def _across(members: DataFrame, reps: DataFrame, sets: DataFrame | None, most: i
                 held.append(part)
         if held:
             yield from flush()
+        held.clear()
+        release()
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -353,6 +365,18 @@ def _in(labels: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     return rows.join(labels, "rid", "left").withColumn(name, F.coalesce("label", F.col("rid"))).drop("label")
 
 
+def merged(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` after more ``edges``: only the components that these join are gone through again."""
+    ends = edges.select("a", "b")
+    for end in ("a", "b"):
+        ends = _in(labels, ends.withColumnRenamed(end, "rid"), "_l").drop("rid").withColumnRenamed("_l", end)
+    over = components(ends.filter("a <> b"))
+    alone = edges.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(labels, "rid", "left_anti")
+    every = labels.unionByName(alone.select("rid", F.col("rid").alias("label")))
+    top = over.select(F.col("rid").alias("label"), F.col("label").alias("top"))
+    return settled(every.join(top, "label", "left").select("rid", F.coalesce("top", "label").alias("label")), "labels")
+
+
 def link(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """All rows' classes (``_key``, ``u``, ``n_shingles``, ``rid``) and the labels of the classes that have links."""
     most = far(percent)
@@ -362,18 +386,19 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int =
     counts = settled(each.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
     shared = settled(each.join(counts, "key"), "shared")
     popular = settled(shared.groupBy("rid").agg(F.sum("n").alias("popular")), "popular")
-    best = F.max_by("rid", F.struct("popular", -F.col("rid")))
-    centers = settled(shared.join(popular, "rid").groupBy("key").agg(best.alias("center")), "centers")
+    best = F.max_by(F.struct(F.col("rid").alias("center"), "popular"), F.struct("popular", -F.col("rid")))
+    centers = settled(shared.join(popular, "rid").groupBy("key").agg(best.alias("best")).select("key", "best.*"), "centers")
     beside = shared.join(centers, "key").filter(F.col("rid") != F.col("center"))
-    star = beside.select(F.least("rid", "center").alias("a"), F.greatest("rid", "center").alias("b")).distinct()
+    star = beside.groupBy("rid").agg(F.max_by("center", F.struct("popular", -F.col("center"))).alias("center"))
+    star = star.select(F.least("rid", "center").alias("a"), F.greatest("rid", "center").alias("b")).distinct()
     near = settled(_near(star, reps, most), "near")
 
     # groups: what near pairs join
     groups = components(near)
-    others = _in(groups, beside.filter("n > 2").select(F.col("key").alias("g"), "rid"), "comp").withColumn("size", F.lit(BYTES).cast("long"))
+    others = _in(groups, shared.select(F.col("key").alias("g"), "rid"), "comp").withColumn("size", F.lit(BYTES).cast("long"))
     more = settled(_across(others, reps, None, most, percent).distinct(), "more")
     if not more.isEmpty():
-        groups = components(near.unionByName(more))
+        groups = merged(groups, more)
 
     # links: near pairs that their sets confirm, and what they leave apart in a group
     sets = settled(_sets(df, key, text, found, groups.select("rid")), "sets")
@@ -382,7 +407,7 @@ def link(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int =
     members = _in(labels, groups.withColumnRenamed("label", "g"), "comp").join(reps.select("rid", (8 * F.col("n")).alias("size")), "rid")
     rest = settled(_across(members, reps, sets, most, percent), "rest")
     if not rest.isEmpty():
-        labels = components(links.unionByName(rest))
+        labels = merged(labels, rest)
     return found.drop("sig"), labels
 
 

@@ -307,3 +307,5 @@ def test_components(spark):
     got = {r["rid"]: r["label"] for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in up}
     assert minhash.components(spark.createDataFrame([], "a long, b long")).collect() == []
+    first, more = (spark.createDataFrame(e, "a long, b long") for e in (edges[::2], edges[1::2]))
+    assert {r["rid"]: r["label"] for r in minhash.merged(minhash.components(first), more).collect()} == got
