@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import python_ready, release
+from .common import in_arrow, python_ready, release
 
 #: Pre-tokens that a worker remembers; beyond, it starts anew.
 REMEMBERED = 100_000
@@ -135,7 +135,7 @@ def _extended(df: DataFrame, added: list[tuple[str, T.DataType]], work, keep: li
             yield pa.RecordBatch.from_arrays([*arrays, *work(b)], names=[*stay, *names])
         release()
 
-    return df.mapInArrow(run, T.StructType(fields))
+    return in_arrow(df, run, T.StructType(fields))
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", digests: bool = False, keep: list[str] | None = None) -> DataFrame:

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import python_ready
+from .common import in_arrow, python_ready
 
 #: Elements that begin and end lines.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -404,4 +404,4 @@ def extract(df: DataFrame, html: str = "html", out: str = "text", keep: list[str
             texts = [main_text(x) for x in b.column(html).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in stay], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*stay, out, "n_chars"])
 
-    return df.mapInArrow(run, T.StructType(fields))
+    return in_arrow(df, run, T.StructType(fields))

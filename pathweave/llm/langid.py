@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import python_ready
+from .common import in_arrow, python_ready
 
 UNKNOWN = "und"
 #: Code points that one numpy pass takes; longer texts are read in overlapping blocks.
@@ -201,7 +201,7 @@ def predict(df: DataFrame, filters: Filters, text: str = "text", keep: list[str]
             known = [pa.array([x[2] for x in found], pa.float64())] if share else []
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in stay], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), *known], names=names)
 
-    return df.mapInArrow(run, T.StructType(fields))
+    return in_arrow(df, run, T.StructType(fields))
 
 
 def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", settings: Settings | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import settled, python_ready
+from .common import in_arrow, python_ready, settled
 
 CONTINUED, FIRST, LAST = 1, 2, 4
 RATE = 8000
@@ -189,7 +189,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "media", keep: list[str
             media = pa.array([store((t or "").encode("utf-8", "surrogatepass")) for t in b.column(text).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in stay], media], names=[*stay, out])
 
-    return df.mapInArrow(run, T.StructType([*[df.schema[c] for c in stay], T.StructField(out, T.BinaryType())]))
+    return in_arrow(df, run, T.StructType([*[df.schema[c] for c in stay], T.StructField(out, T.BinaryType())]))
 
 
 _ADDED = [("n_bytes", T.LongType(), pa.int64()), ("payload_bytes", T.LongType(), pa.int64()), ("payload_sha256", T.StringType(), pa.string()), ("tail_crc32", T.LongType(), pa.int64()), ("media_bytes", T.LongType(), pa.int64()), ("media_sha256", T.StringType(), pa.string()), ("feature", T.StringType(), pa.string()), ("error", T.StringType(), pa.string())]
@@ -220,7 +220,7 @@ def features(df: DataFrame, media: str = "media", keep: list[str] | None = None)
             found = list(zip(*[describe(m) for m in b.column(media).to_pylist()], strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in stay], *[pa.array(v, t) for v, (_, _, t) in zip(found, _ADDED, strict=True)]], names=[*stay, *names])
 
-    return df.mapInArrow(run, T.StructType([*[df.schema[c] for c in stay], *[T.StructField(n, t) for n, t, _ in _ADDED]]))
+    return in_arrow(df, run, T.StructType([*[df.schema[c] for c in stay], *[T.StructField(n, t) for n, t, _ in _ADDED]]))
 
 
 def stored_features(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import python_ready
+from .common import in_arrow, python_ready
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -132,4 +132,4 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tok
             found = pa.array([count(t) for t in b.column(text).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in stay], found], names=[*stay, out])
 
-    return df.mapInArrow(run, T.StructType(fields))
+    return in_arrow(df, run, T.StructType(fields))
