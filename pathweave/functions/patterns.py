@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 #: POSIX character classes as they stand inside a JVM character class.
 CLASSES = {

@@ -18,7 +18,7 @@ from pathweave.operators import merge as M
 from pathweave.operators import mounts as MT
 from pathweave.operators import ordering as O
 from pathweave.operators import prune as PR
-from pathweave.operators.render import rendered
+from pathweave.operators.render import write_names
 from pathweave.operators.search import Options, candidates, lookup, search
 from pathweave.operators.visibility import visible
 from pathweave.plans.trigrams import plan
@@ -467,3 +467,34 @@ def shell_quote_bytes(spark, sf_dir):
     raw, odd = F.encode("path", "UTF-8"), F.col("seq") % 3
     named = F.when(odd == 0, raw).when(odd == 1, F.concat(raw, F.unhex(F.lit("FF")))).otherwise(F.concat(raw, F.unhex(F.lit("0AE381C3A9"))))
     return urls(spark, sf_dir).select("seq", P.shell_quote_bytes(named).alias("quoted"))
+
+
+def _read_back(spark, path: str, end: str) -> DataFrame:
+    return spark.read.text(path, lineSep=end).select(F.col("value").alias("path"))
+
+
+@_registered("select url as path from pages")
+def sink_lines(spark, sf_dir):
+    """Names written a line each, and the lines."""
+    path = place(spark, "lines")
+    write_names(urls(spark, sf_dir), path)
+    return _read_back(spark, path, "\n")
+
+
+@_registered(r"select case when page_id % 2 = 0 then url || chr(10) || 'x' else url end as path from pages")
+def sink_zero(spark, sf_dir):
+    """Names closed by zero bytes, line feeds within them, and what stands between the zeros."""
+    path = place(spark, "zero")
+    odd = F.when(F.col("seq") % 2 == 0, F.concat("path", F.lit("\nx"))).otherwise(F.col("path"))
+    write_names(urls(spark, sf_dir).select(odd.alias("path")), path, zero=True)
+    return _read_back(spark, path, "\0")
+
+
+@_registered(f"select seq, path, row_number() over (order by list_slice(string_split(path, '/'), 1, -2), string_split(path, '/')[-1]) - 1 as place from {_V}")
+def listing_order(spark, sf_dir):
+    return _placed(O.in_dir_order(tree(spark, sf_dir)))
+
+
+@_registered(f"select 0 as db_ordinal, seq, path from {_V} where contains(path, '1')")
+def search_ignoring_visibility(spark, sf_dir):
+    return _scan(tree(spark, sf_dir), "1", denied=_denied(spark, sf_dir), ignore_visibility=True)
