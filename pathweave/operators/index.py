@@ -20,6 +20,8 @@ from pathweave.tables import file_system
 
 VERSION = 1
 POINTER = "CURRENT"
+#: Bytes of names that one task of a build has: its memory follows them, and the number of tasks the size of all names.
+TASK_BYTES = 8 << 20
 
 
 @dataclass
@@ -28,18 +30,29 @@ class Index:
     postings: DataFrame
     stats: DataFrame
     metadata: dict
+    tasks: int | None = None  #: of a build; None: not counted
 
     @property
     def check_visibility(self) -> bool:
         return bool(self.metadata["check_visibility"])
 
 
-def build_trigrams(names: DataFrame, path: str = "path", docid: str = "docid") -> DataFrame:
+def tasks_for(names: DataFrame, path: str = "path") -> int:
+    """The number of tasks that a build over these names is dealt to; reads the names once."""
+    size = names.agg(F.sum(F.octet_length(path))).first()[0] or 0
+    return max(1, -(-size // TASK_BYTES))
+
+
+def build_trigrams(names: DataFrame, path: str = "path", docid: str = "docid", tasks: int | None = None) -> DataFrame:
     """``docid``, ``trgm``: each trigram of each block once.  Names of under three bytes have none; a trigram never
-    spans two names."""
+    spans two names.
+
+    Names are dealt by their block, so that its trigrams are made distinct where they are made and only names are
+    shuffled.  A task has ``TASK_BYTES`` of names or one block, whatever the number of names; ``tasks`` saves counting."""
     raw = names.select(F.col(docid).alias("docid"), F.encode(F.col(path), "UTF-8").alias("raw")).filter(F.octet_length("raw") >= 3)
-    placed = raw.select("docid", "raw", F.explode(F.sequence(F.lit(1), F.octet_length("raw") - 2)).alias("i"))
-    return placed.select("docid", F.hex(F.expr("substring(raw, i, 3)")).alias("trgm")).distinct()
+    dealt = raw.repartition(tasks or tasks_for(names, path), "docid")
+    placed = dealt.select("docid", "raw", F.explode(F.sequence(F.lit(1), F.octet_length("raw") - 2)).alias("i"))
+    return placed.select("docid", F.expr("substring(raw, i, 3)").alias("bytes")).distinct().select("docid", F.hex("bytes").alias("trgm"))
 
 
 def posting_lists(trigrams: DataFrame) -> DataFrame:
@@ -70,21 +83,24 @@ def build(names: DataFrame, block_size: int = 32, check_visibility: bool = True,
         key = [F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.element_at(parts, -1)] if order is None else list(order)
         kept = with_seq(kept, *key)
     numbered = with_docid(kept, block_size)
-    postings = build_trigrams(numbered)
-    return Index(numbered, postings, posting_stats(postings), {"version": VERSION, "block_size": block_size, "check_visibility": check_visibility, "conf_block": conf_block})
+    tasks = tasks_for(numbered)
+    postings = build_trigrams(numbered, tasks=tasks)
+    return Index(numbered, postings, posting_stats(postings), {"version": VERSION, "block_size": block_size, "check_visibility": check_visibility, "conf_block": conf_block}, tasks)
 
 
 def write(index: Index, path: str) -> str:
     """Write a new version of the index beside the old ones and switch to it in one rename; the version's name.
 
     A run that breaks off leaves the current version as it was.  The version before stays for those who still read it,
-    the one before that goes.  Names are in the order of their blocks, so that a few blocks are few pages."""
+    the one before that goes.  Names are in the order of their blocks, so that a few blocks are few pages; postings are in ranges of
+    trigram and block, so that one in all blocks is in no single task."""
     spark = index.names.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     base = f"{path}/{version}"
-    index.names.repartitionByRange("docid").sortWithinPartitions("docid", "pos").write.option("compression", "zstd").parquet(f"{base}/names")
+    tasks = index.tasks or tasks_for(index.names)
+    index.names.repartitionByRange(tasks, "docid").sortWithinPartitions("docid", "pos").write.option("compression", "zstd").parquet(f"{base}/names")
     names = spark.read.parquet(f"{base}/names")
-    postings = build_trigrams(names).repartitionByRange("trgm").sortWithinPartitions("trgm", "docid")
+    postings = build_trigrams(names, tasks=tasks).repartitionByRange(tasks, "trgm", "docid").sortWithinPartitions("trgm", "docid")
     postings.write.option("compression", "zstd").parquet(f"{base}/postings")
     posting_stats(spark.read.parquet(f"{base}/postings")).repartitionByRange("trgm").sortWithinPartitions("trgm").write.parquet(f"{base}/stats")
     sizes = names.agg(F.count("*"), F.coalesce(F.max("docid") + 1, F.lit(0)), F.coalesce(F.sum(F.octet_length("path")), F.lit(0))).first()

@@ -148,3 +148,31 @@ def test_short_names_have_their_trigram(spark):
     assert [tuple(r) for r in I.build_trigrams(rows).collect()] == [(0, "2F6162")]
     lists = I.posting_lists(spark.createDataFrame([(2, "x"), (1, "x")], "docid long, trgm string")).first()
     assert (lists["num_docids"], lists["docids"]) == (2, [1, 2])
+
+
+def test_build_is_dealt_by_bytes(spark, tmp_path, monkeypatch):
+    """A task's rows follow TASK_BYTES, whatever the number of shuffle partitions."""
+    monkeypatch.setattr(I, "TASK_BYTES", 3000, raising=False)
+    rows = [(i, f"/common/{i * 7919 % 3001}") for i in range(3000)] + [(3000, "/long/" + "abc" * 500), (3001, None), (3002, ""), (3003, "é")]
+    names = spark.createDataFrame(rows, "seq long, path string")
+    place = str(tmp_path / "i")
+    I.write(I.build(names, 2), place)
+    index = I.read(spark, place)
+    expected = {(i // 2, raw[k : k + 3].hex().upper()) for i, p in rows if p for raw in [p.encode()] for k in range(len(raw) - 2)}
+    found = [tuple(r) for r in index.postings.select("docid", "trgm").collect()]
+    assert len(found) == len(expected) and set(found) == expected
+    assert sorted(map(tuple, index.stats.collect())) == sorted((t, sum(u == t for _, u in expected)) for t in {t for _, t in expected})
+    for table, n in ((index.names, 3002), (index.postings, len(expected))):
+        parts = [r["count"] for r in table.groupBy(F.input_file_name()).count().collect()]
+        assert len(parts) > 8 and max(parts) < n / 4
+    assert I.build_trigrams(names, docid="seq").rdd.getNumPartitions() > 8
+    assert paths(search([index], ["n/77"], Options(use_index=True))) == [p for _, p in rows if p and "n/77" in p]
+
+
+def test_a_trigram_of_all_blocks_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "TASK_BYTES", 1000, raising=False)
+    place = str(tmp_path / "i")
+    I.write(I.build(spark.range(2000).select(F.col("id").alias("seq"), F.lit("same").alias("path")), 1), place)
+    postings = I.read(spark, place).postings
+    parts = [r["count"] for r in postings.groupBy(F.input_file_name()).count().collect()]
+    assert sum(parts) == 4000 and len(parts) > 6 and max(parts) < 1000
